@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import language, mixing, quality_rules, secrets, token_counts
+from paperloom.llm import decontamination, language, mixing, quality_rules, secrets, token_counts
 from paperloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op4_secret_scans": op4_secret_scans, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+QUERIES = {"op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 SQL: dict[str, str] = {}
