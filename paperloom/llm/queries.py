@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, language, mixing, ngram_jaccard, quality_rules, secrets, substring_dedup, token_counts
+from paperloom.llm import decontamination, language, mixing, ngram_jaccard, quality_rules, secrets, substring_dedup, token_counts, toxicity
 from paperloom.llm.common import table
 
 
@@ -12,6 +12,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 SQL: dict[str, str] = {}
