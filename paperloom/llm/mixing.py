@@ -84,3 +84,13 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), see
     return placed.withColumn("until", until).select(
         "doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
     )
+
+
+def taken_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs of which the mixture takes words, with size, epochs and taken. Rows that share doc_id, source and
+    size are told apart by nothing here and get the largest of their numbers each."""
+    mixed = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.max("taken").alias("taken"))
+    sized = docs.withColumn("mix_size", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    d, m = sized.alias("d"), mixed.alias("m")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.mix_size") == F.col("m.size"))
+    return d.join(m, same).select(*[F.col(f"d.{c}") for c in docs.columns], F.col("m.size").alias("mix_words"), F.col("m.epochs").alias("mix_epochs"), F.col("m.taken").alias("mix_taken"))

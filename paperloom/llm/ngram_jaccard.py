@@ -379,7 +379,9 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that aren't the first (smallest doc_id) of their component; a row that repeats a kept
-    doc_id with the same text stays only once where the id is the component's."""
-    told = join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi").select(*docs.columns)
+    """docs without the documents that aren't the first (smallest doc_id) of their component. Rows that share a kept
+    doc_id and the text stay once; a row without doc_id stays unless it is linked to one with."""
+    told = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    shared = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = docs.alias("d").join(told.distinct().alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")), "left_semi").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if shared else kept

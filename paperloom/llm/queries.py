@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import decontamination, language, mixing, ngram_jaccard, quality_rules, secrets, substring_dedup, token_counts, toxicity
+from paperloom.llm import chat, decontamination, language, mixing, ngram_jaccard, quality_rules, secrets, substring_dedup, token_counts, toxicity
 from paperloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+QUERIES = {"op6_chat_formatting": op6_chat_formatting, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
 
 SQL: dict[str, str] = {}
