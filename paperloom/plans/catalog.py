@@ -2,6 +2,367 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paperloom.functions import geometry as g
+from paperloom.functions import text as t
+from paperloom.operators import joins, layout, numbers, pages, recognition, search, signing, views
+from paperloom.plans import sql
+from paperloom.session import table
+
+FLAGSHIP = "check_numbers"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "check_numbers"
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of (spark, sf_dir) under a name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            SQL[name] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
+
+
+@query("check_numbers", sql.CHECK_NUMBERS)
+def check_numbers(spark: SparkSession, d: str) -> DataFrame:
+    found = numbers.check_numbers(views.invoice_lines(spark, d))
+    return found.withColumns({c: F.round(F.col(c), 2) for c in ("actual", "claimed")}).withColumn("seq", F.col("seq").cast("int"))
+
+
+@query("check_numbers_prose", sql.CHECK_PROSE)
+def check_numbers_prose(spark: SparkSession, d: str) -> DataFrame:
+    """Inline sums made from part sizes: p_size x 3 = a claim that holds for every other part."""
+    p = table(spark, d, "part")
+    claim = F.col("p_size") * 3 + F.col("p_partkey") % 2
+    lines = p.select(
+        F.col("p_partkey").alias("doc_id"), F.lit(0).alias("seq"),
+        F.concat(F.col("p_size").cast("string"), F.lit(" * 3 = "), claim.cast("string"), F.lit(" for "), F.col("p_name")).alias("text"),
+    )
+    return numbers.arithmetic(lines).select("doc_id", "severity", "actual", "claimed")
+
+
+@query("numbers_in_lines", sql.NUMBERS_IN_LINES)
+def numbers_in_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = views.invoice_lines(spark, d)
+    nums = F.regexp_extract_all("text", F.lit(t.NUMBER), F.lit(0))
+    return lines.select("doc_id", F.col("seq").cast("int").alias("seq"), F.size(nums).cast("long").alias("n"), F.round(t.number(F.try_element_at(nums, F.lit(-1))), 2).alias("last"))
+
+
+@query("estimate_width", sql.ESTIMATE_WIDTH)
+def estimate_width(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", t.estimate_width(F.col("p_name"), 11.0).alias("width"))
+    return rounded(p, "width")
+
+
+@query("fit_font_size", sql.FIT_FONT_SIZE)
+def fit_font_size(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return rounded(p.select("p_partkey", t.fit_font_size(F.col("p_name"), F.lit(12.0), F.col("p_size") * 2.0).alias("size")), "size")
+
+
+@query("amount_tokens", sql.AMOUNT_TOKENS)
+def amount_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of invoice lines by what they look like."""
+    tokens = views.invoice_lines(spark, d).select(F.explode(F.split("text", " ")).alias("token"))
+    kind = F.when(t.looks_like_money(F.col("token")), "money").when(t.looks_like_amount(F.col("token")), "amount").otherwise("text")
+    return tokens.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("token").alias("n_distinct"))
+
+
+@query("accounting_amounts", sql.ACCOUNTING_AMOUNTS)
+def accounting_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Account balances in four accounting spellings, and whether each is read as an amount and as money."""
+    c = table(spark, d, "customer")
+    plain = F.abs(F.col("c_acctbal").cast("decimal(18,2)")).cast("string")
+    form = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("("), plain, F.lit(")"))).when(F.col("c_custkey") % 4 == 1, F.concat(plain, F.lit("-"))).when(
+        F.col("c_custkey") % 4 == 2, F.concat(F.lit("$"), plain)
+    ).otherwise(F.concat(F.lit("(("), plain, F.lit("))")))
+    return c.select("c_custkey", form.alias("text"), t.looks_like_amount(form).alias("amount"), t.looks_like_money(form).alias("money"))
+
+
+@query("match_keys", sql.MATCH_KEYS)
+def match_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The three keys under which a part's brand and type are matched."""
+    p = table(spark, d, "part")
+    text = F.concat(F.col("p_type"), F.lit("  - "), F.col("p_brand"), F.lit(" 1,234"))
+    return p.select("p_partkey", t.normalize(text).alias("key"), t.loose_amount_key(text).alias("loose"), t.soft_match_key(text).alias("soft"))
+
+
+@query("clean_copy")
+def clean_copy(spark: SparkSession, d: str) -> DataFrame:
+    lines = views.lines(spark, d)
+    return lines.select("doc_id", "seq", t.clean_copy(F.col("text")).alias("clean"))
+
+
+@query("garbled_lines", sql.GARBLED_LINES)
+def garbled_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Share of blank or garbled lines by language."""
+    docs = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line"))
+    bad = (F.length(F.trim("line")) == 0) | (F.length("line") - F.length(F.replace("line", F.lit("\\"), F.lit(""))) >= 2)
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_bad"))
+
+
+@query("page_ranges", sql.PAGE_RANGES)
+def page_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges written by key: "a-b, c"; those that leave the document give no pages."""
+    o = table(spark, d, "orders").where("o_orderkey % 10 = 1")
+    k = F.col("o_orderkey")
+    spec = F.concat((k % 5 + 1).cast("string"), F.lit("-"), (k % 7 + 3).cast("string"), F.lit(", "), (k % 11 + 1).cast("string"))
+    got = t.page_ranges(spec, F.lit(10))
+    return o.select(k.alias("doc_id"), spec.alias("spec"), F.coalesce(F.array_join(F.transform(got, lambda x: x.cast("string")), ","), F.lit("error")).alias("pages"))
+
+
+@query("iou_matches", sql.IOU)
+def iou_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Intersection over union of each mark with the last run of its line, and with the box shifted by its quantity."""
+    r, m = views.runs(spark, d).where("ord = 3"), views.marks(spark, d)
+    both = r.join(joins.renamed(m), ["doc_id", "page"]).where("line = b_line")
+    return both.select("doc_id", "line", F.round(g.iou(g.box(), g.box("b_")), 6).alias("iou"), F.round(g.shared_area(g.box(), g.box("b_")), 6).alias("shared"))
+
+
+@query("marquee_select", sql.MARQUEE)
+def marquee_select(spark: SparkSession, d: str) -> DataFrame:
+    """Runs that a rectangle over each page's third row of amounts touches."""
+    r = views.runs(spark, d)
+    rects = r.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(400.0).alias("x"), F.lit(640.0).alias("y"), F.lit(150.0).alias("width"), F.lit(20.0).alias("height"))
+    return joins.select_in_rect(r, rects).select("doc_id", "line", "ord", "text")
+
+
+@query("redact_kept_runs", sql.REDACT_KEPT)
+def redact_kept_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs left after erase marks, counted by page."""
+    kept = joins.kept_after_erase(views.runs(spark, d), views.marks(spark, d).where("kind = 'erase'"))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.count_if(F.col("ord") == 3).alias("n_amounts"))
+
+
+@query("marks_off_erase", sql.MARKS_OFF_ERASE)
+def marks_off_erase(spark: SparkSession, d: str) -> DataFrame:
+    """Highlights that no erase mark of the page overlaps."""
+    m = views.marks(spark, d)
+    hit = joins.overlapping(m.where("kind = 'highlight'"), joins.renamed(m.where("kind = 'erase'")), 1.0).select("doc_id", "line").distinct()
+    return m.where("kind = 'highlight'").join(hit, ["doc_id", "line"], "left_anti").select("doc_id", "line")
+
+
+@query("overlapping_runs", sql.OVERLAPPING_RUNS)
+def overlapping_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of runs of a line that lie over each other, after the first run is widened to the second column."""
+    r = views.runs(spark, d).withColumn("width", F.when(F.col("ord") == 0, F.lit(310.0) + F.col("line") * 10).otherwise(F.col("width")))
+    return joins.overlapping_pairs(r).select("doc_id", "line", "ord", "b_ord")
+
+
+@query("best_iou_match", sql.BEST_IOU)
+def best_iou_match(spark: SparkSession, d: str) -> DataFrame:
+    """For each mark the run of its page that it covers best."""
+    runs = views.runs(spark, d).select("doc_id", "page", (F.col("line") * 10 + F.col("ord")).alias("ord"), "x", "y", "width", "height")
+    best = joins.best_match(views.marks(spark, d), runs, ("doc_id", "line"))
+    return best.select("doc_id", "line", "b_ord", F.round("iou", 6).alias("iou"))
+
+
+@query("cluster_columns", sql.CLUSTER_COLUMNS)
+def cluster_columns(spark: SparkSession, d: str) -> DataFrame:
+    return layout.columns_of_lines(views.runs(spark, d)).select("doc_id", "line", "ord", "column")
+
+
+@query("column_labels", sql.COLUMN_LABELS)
+def column_labels(spark: SparkSession, d: str) -> DataFrame:
+    return layout.column_fields(views.runs(spark, d)).select("doc_id", "line", "column", "label", "text")
+
+
+@query("group_text_items")
+def group_text_items(spark: SparkSession, d: str) -> DataFrame:
+    """Words of part names and figures as items, grouped to runs."""
+    r = views.runs(spark, d)
+    words = r.select("doc_id", "page", "line", "ord", "x", "y", "width", "height", "font", F.posexplode(F.split("text", " ")).alias("i", "word"), "text")
+    items = words.select(
+        "doc_id", "page", (F.col("line") * 100 + F.col("ord") * 10 + F.col("i")).alias("ord"), F.col("word").alias("text"),
+        (F.col("x") + t.estimate_width(F.array_join(F.slice(F.split("text", " "), 1, F.col("i")), " "), 9.0) + F.when(F.col("i") > 0, 2.5).otherwise(0.0)).alias("x"),
+        "y", t.estimate_width(F.col("word"), 9.0).alias("width"), "height", "font",
+    )
+    return rounded(layout.group_text_items(items).select("doc_id", "page", "run", "text", "x", "y", "width", "n_items"), "x", "y", "width")
+
+
+@query("visual_bands", sql.VISUAL_BANDS)
+def visual_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a page by bands; line numbers are bands here, as rows are 18 points apart."""
+    return layout.visual_bands(views.runs(spark, d)).select("doc_id", "line", "ord", F.col("band").cast("int").alias("band"))
+
+
+for _kind in ("left", "right", "center", "justify"):
+
+    @query(f"align_{_kind}", sql.ALIGN[_kind])
+    def _align(spark: SparkSession, d: str, kind: str = _kind) -> DataFrame:
+        return rounded(layout.align(views.runs(spark, d), kind).select("doc_id", "line", "ord", "new_x"), "new_x")
+
+
+@query("selection_bounds", sql.SELECTION_BOUNDS)
+def selection_bounds(spark: SparkSession, d: str) -> DataFrame:
+    r = views.runs(spark, d)
+    out = r.groupBy("doc_id").agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height")
+    )
+    return rounded(out, "x", "y", "width", "height")
+
+
+@query("split_pages", sql.SPLIT_PAGES)
+def split_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.split(views.pages(spark, d), 4).select("doc_id", "pos", "page_id", "part", "part_pos", "part_name")
+
+
+@query("extract_pages", sql.EXTRACT_PAGES)
+def extract_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = views.pages(spark, d)
+    return pages.extract(p, p.where("page_id % 3 = 0")).select("doc_id", "pos", "page_id")
+
+
+@query("delete_pages", sql.DELETE_PAGES)
+def delete_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = views.pages(spark, d)
+    return pages.delete(p, p.where("page_id % 3 <> 1")).select("doc_id", "pos", "page_id")
+
+
+@query("reorder_pages", sql.REORDER_PAGES)
+def reorder_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document reversed."""
+    p = views.pages(spark, d)
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    return pages.reorder(p, p.select("doc_id", "pos", (n + 1 - F.col("pos")).cast("int").alias("new_pos"))).select("doc_id", "pos", "page_id")
+
+
+@query("move_page", sql.MOVE_PAGE)
+def move_page(spark: SparkSession, d: str) -> DataFrame:
+    """The last page of every document moved to the front."""
+    p = views.pages(spark, d)
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id")).cast("int")
+    return p.select("doc_id", pages.move(F.col("pos"), n, F.lit(1)).cast("int").alias("pos"), "page_id")
+
+
+@query("merge_documents", sql.MERGE_DOCUMENTS)
+def merge_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the customers of each nation end to end, in order of their key."""
+    files = table(spark, d, "customer").select(F.col("c_nationkey").alias("merged_id"), F.col("c_custkey").alias("file_ord"), F.col("c_custkey").alias("doc_id"))
+    return pages.merge(views.pages(spark, d), files).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("rotate_pages", sql.ROTATE_PAGES)
+def rotate_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = views.pages(spark, d)
+    turned = pages.rotated(p, p.where("pos % 2 = 0").select("doc_id", "pos", F.lit(-90).alias("turn")))
+    return turned.select("doc_id", "pos", "rotation")
+
+
+@query("rotate_pages_absolute", sql.ROTATE_ABSOLUTE)
+def rotate_pages_absolute(spark: SparkSession, d: str) -> DataFrame:
+    p = views.pages(spark, d)
+    turned = pages.rotated(p, p.where("pos = 1").select("doc_id", "pos", F.lit(180).alias("turn")), relative=False)
+    return turned.groupBy("rotation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("identity_order", sql.IDENTITY_ORDER)
+def identity_order(spark: SparkSession, d: str) -> DataFrame:
+    p = views.pages(spark, d).withColumn("new_pos", F.when(F.col("doc_id") % 2 == 0, F.col("pos")).otherwise(F.count(F.lit(1)).over(Window.partitionBy("doc_id")) + 1 - F.col("pos")))
+    return pages.is_identity(p)
+
+
+@query("signer_status", sql.SIGNER_STATUS)
+def signer_status(spark: SparkSession, d: str) -> DataFrame:
+    return signing.signer_status(views.sign_fields(spark, d)).select("packet", "signer", "stage", "required", "filled", "complete", "unlocked")
+
+
+@query("next_signer", sql.NEXT_SIGNER)
+def next_signer(spark: SparkSession, d: str) -> DataFrame:
+    return signing.next_signer(views.sign_fields(spark, d))
+
+
+@query("group_ocr_words")
+def group_ocr_words(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(recognition.group_words(views.words(spark, d)), "confidence")
+
+
+@query("uncertain_words", sql.UNCERTAIN_WORDS)
+def uncertain_words(spark: SparkSession, d: str) -> DataFrame:
+    u = recognition.uncertain_words(views.words(spark, d))
+    return u.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("least"))
+
+
+@query("verify_gate", sql.VERIFY_GATE)
+def verify_gate(spark: SparkSession, d: str) -> DataFrame:
+    w = views.words(spark, d)
+    return recognition.verify_gate(w, w.where("ord % 2 = 0 or page = 0").select("doc_id", "page", "ord"))
+
+
+@query("classify_pages", sql.CLASSIFY_PAGES)
+def classify_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with counts made from the order: as in the driver's rules for scanned pages."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    reason = recognition.classify_page(k % 13, k % 3, k % 11, (k % 10) / 10.0, (k % 7) / 10.0)
+    return o.select(k.alias("doc_id"), reason.alias("reason"))
+
+
+@query("otsu_threshold", sql.OTSU)
+def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Event values as gray levels, one image for each type of event."""
+    e = table(spark, d, "events")
+    level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor("value"))).cast("int")
+    hist = e.groupBy(F.col("event_type").alias("image_id"), level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return recognition.otsu(hist)
+
+
+@query("phrase_search", sql.PHRASE_SEARCH)
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first five words of every benchmark item, looked for in all lines."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 5), " ").alias("query"))
+    return search.find_lines(views.lines(spark, d), q).select("query_id", "doc_id", "seq", "start", "end")
+
+
+@query("phrase_snippets")
+def phrase_snippets(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 3), " ").alias("query"))
+    return search.find_lines(views.lines(spark, d), q)
+
+
+@query("hit_boxes")
+def hit_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(search.hit_boxes(views.runs(spark, d), "widget 1"), "x", "y", "width", "height")
+
+
+@query("page_viewport", sql.PAGE_VIEWPORT)
+def page_viewport(spark: SparkSession, d: str) -> DataFrame:
+    """A point of each page through its view and back."""
+    p = views.pages(spark, d)
+    m = g.viewport([F.lit(0.0), F.lit(0.0), F.lit(595.0), F.lit(842.0)], F.lit(1.5), F.col("rotation"))
+    x, y = g.apply(m, F.lit(100.0), F.col("pos") * 10.0)
+    back = g.apply(g.invert(m), x, y)
+    out = p.select("doc_id", "pos", x.alias("view_x"), y.alias("view_y"), back[0].alias("x"), back[1].alias("y"))
+    return rounded(out, "view_x", "view_y", "x", "y")
+
+
+@query("contain_fit", sql.CONTAIN_FIT)
+def contain_fit(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    x, y, w, h = g.contain(F.col("p_size") + 10.0, F.col("p_partkey") % 50 + 5.0, F.lit(200.0), F.lit(100.0))
+    out = rounded(p.select("p_partkey", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")), "x", "y", "w", "h")
+    return out.withColumns({"x": F.col("x") + 0, "y": F.col("y") + 0})
+
+
+@query("order_quad", sql.ORDER_QUAD)
+def order_quad(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of a skewed sheet in an order that depends on the part, put right; its area."""
+    k = F.col("p_partkey")
+    pt = lambda x, y: F.struct(F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    a, b = pt(10.0 + k % 7, 12.0 + k % 3), pt(184.0 - k % 5, 8.0 + k % 4)
+    c, e = pt(180.0 + k % 6, 90.0 + k % 8), pt(12.0 + k % 2, 88.0 - k % 9)
+    shuffled = F.when(k % 2 == 0, F.array(c, a, e, b)).otherwise(F.array(e, b, a, c))
+    quads = table(spark, d, "part").select(k, g.ordered_quad(shuffled).alias("q"))
+    q = F.col("q")
+    corners = [q[i][c].alias(f"{n}_{c}") for i, n in enumerate(("tl", "tr", "br", "bl")) for c in ("x", "y")]
+    out = quads.select(k, *corners, g.quad_area(q).alias("area"), g.rectangularity(q).alias("rectangularity"))
+    return rounded(out, "area", "rectangularity")
