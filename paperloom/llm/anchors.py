@@ -29,7 +29,7 @@ def cover(data: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
     while k < n:
         stop = max(k + 1, int(np.searchsorted(begins, begins[k] + PIECE, side="right")) - 1)
         if stop == k + 1 and begins[stop] - begins[k] > PIECE:
-            for at in range(int(begins[k]), int(begins[stop]) - SPAN + 1, PIECE - SPAN):
+            for at in range(int(begins[k]), int(begins[stop]) - SPAN + 1, PIECE - SPAN + 1):
                 end = min(at + PIECE, int(begins[stop]))
                 parts.append(_cover(data[at:end], np.array([0, end - at]), k, at - int(begins[k])))
         else:

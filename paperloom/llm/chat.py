@@ -36,7 +36,7 @@ NAMES = ("", "system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 #: Messages that may follow each state.
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-COSTS = {"relabel": 1.0, "merge": 0.6, "insert": 1.25, "no_user": 1.25}
+COSTS = {"relabel": 1.0, "merge": 0.6, "insert": 1.25, "no_user": 0.9}
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 OUT = "conv_id long, turn long, place long, role_in string, role string, action string, inserted string, cost double, rendered string"
 

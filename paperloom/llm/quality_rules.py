@@ -87,39 +87,39 @@ def judge(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """docs with a struct column `rules`: the counts, base_failed, lost (share of characters in failing lines) and kept;
     and `rules_lines`, the judged lines in their order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("rules_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    d = d.withColumn("rules_lines", F.array_sort(judged_lines(text)))
-    n_words = F.size("rules_words").cast("long")
-    count = lambda f: F.size(F.filter("rules_lines", f)).cast("long")
-    chars = lambda f: F.aggregate("rules_lines", F.lit(0).cast("long"), lambda a, x: a + F.when(f(x), F.length(x["line"])).otherwise(0))
+    d = docs.withColumn("_rules_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    d = d.withColumn("_rules_lines", F.array_sort(judged_lines(text)))
+    n_words = F.size("_rules_words").cast("long")
+    count = lambda f: F.size(F.filter("_rules_lines", f)).cast("long")
+    chars = lambda f: F.aggregate("_rules_lines", F.lit(0).cast("long"), lambda a, x: a + F.when(f(x), F.length(x["line"])).otherwise(0))
     d = d.select(
         *docs.columns,
-        "rules_lines",
-        n_words.alias("rules_n_words"),
-        F.aggregate("rules_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("rules_word_chars"),
-        count_of(text, SYMBOLS).alias("rules_n_symbols"),
-        count(lambda x: x["dup"]).alias("rules_n_dup_lines"),
-        repeated_words(F.col("rules_words")).alias("rules_n_repeat_words"),
-        chars(lambda x: x["fails"]).alias("rules_lost"),
-        chars(lambda x: x["word"]).alias("rules_all"),
+        "_rules_lines",
+        n_words.alias("_rules_n_words"),
+        F.aggregate("_rules_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("_rules_word_chars"),
+        count_of(text, SYMBOLS).alias("_rules_n_symbols"),
+        count(lambda x: x["dup"]).alias("_rules_n_dup_lines"),
+        repeated_words(F.col("_rules_words")).alias("_rules_n_repeat_words"),
+        chars(lambda x: x["fails"]).alias("_rules_lost"),
+        chars(lambda x: x["word"]).alias("_rules_all"),
     )
-    failed = (F.col("rules_n_words") < MIN_WORDS) | (100 * F.col("rules_n_repeat_words") > 50 * F.col("rules_n_words"))
-    lost = F.col("rules_lost") / F.greatest(F.col("rules_all"), F.lit(1))
+    failed = (F.col("_rules_n_words") < MIN_WORDS) | (100 * F.col("_rules_n_repeat_words") > 50 * F.col("_rules_n_words"))
+    lost = F.col("_rules_lost") / F.greatest(F.col("_rules_all"), F.lit(1))
     rules = F.struct(
-        *[F.col(f"rules_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *[F.col(f"_rules_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"), lost.alias("lost"), (~failed & (lost <= most_lost)).alias("kept"),
     )
-    return d.select(*docs.columns, "rules_lines", rules.alias("rules"))
+    return d.select(*docs.columns, "_rules_lines", rules.alias("_rules"))
 
 
 def report(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
-    return judge(docs.select("doc_id", "text"), most_lost).select("doc_id", "rules.*")
+    return judge(docs.select("doc_id", "text"), most_lost).select("doc_id", "_rules.*")
 
 
 def clean(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """The kept documents without their failing lines; same columns (n_chars follows the text where there is one)."""
-    kept = judge(docs, most_lost).where("rules.kept")
-    left = F.array_join(F.transform(F.filter("rules_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+    kept = judge(docs, most_lost).where("_rules.kept")
+    left = F.array_join(F.transform(F.filter("_rules_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
     out = kept.withColumn("text", left)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -101,18 +101,18 @@ def scan(docs: DataFrame) -> DataFrame:
     named = F.lit(False)
     for word in KEYWORDS:
         named = named | F.contains(lower, F.lit(word))
-    d = docs.withColumn("secret_named", named)
+    d = docs.withColumn("_secret_named", named)
     base = F.concat(
-        _where(F.col("secret_named"), spans(text, ASSIGN, 0, 2, 8)),
+        _where(F.col("_secret_named"), spans(text, ASSIGN, 0, 2, 8)),
         _where(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, 1, None, 16)),
         _where(text.rlike(HEX), spans(text, HEX, 2, None, 32)),
     )
-    d = d.withColumn("base_spans", F.array_sort(base)).withColumn("secret_maybe", _where(text.rlike(CANDIDATE), spans(text, CANDIDATE, 3)))
+    d = d.withColumn("_base_spans", F.array_sort(base)).withColumn("_secret_maybe", _where(text.rlike(CANDIDATE), spans(text, CANDIDATE, 3)))
     apart = F.filter(
-        "secret_maybe",
-        lambda c: ~c["found"].rlike(UUID) & ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+        "_secret_maybe",
+        lambda c: ~c["found"].rlike(UUID) & ~F.exists("_base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
-    return d.withColumn("candidates", F.transform(apart, tested)).drop("secret_named", "secret_maybe")
+    return d.withColumn("_candidates", F.transform(apart, tested)).drop("_secret_named", "_secret_maybe")
 
 
 def _codes(symbols: Column, encoding: Column) -> Column:
@@ -183,7 +183,7 @@ def tested(c: Column) -> Column:
 
 def accepted_from(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """For each length class the least bin that the false-discovery rule accepts; classes without one are left out."""
-    tests = scan(docs).select(F.explode("candidates").alias("c"))
+    tests = scan(docs).select(F.explode("_candidates").alias("c"))
     counts: dict[int, dict[int, int]] = {}
     for r in tests.groupBy("c.long", "c.bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.random").cast("long")).alias("random")).collect():
         counts.setdefault(r.long, {})[r.bin] = r.n
@@ -202,10 +202,10 @@ def accepted_from(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
 def with_spans(docs: DataFrame, limits: dict[int, int]) -> DataFrame:
     """docs with base_spans and spans (base and accepted random ones, by start and kind)."""
     least = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map(F.lit(-1), F.lit(0))
-    chosen = F.filter("candidates", lambda c: c["random"] & (c["bin"] >= F.try_element_at(least, c["long"])))
+    chosen = F.filter("_candidates", lambda c: c["random"] & (c["bin"] >= F.try_element_at(least, c["long"])))
     added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    base = F.transform("base_spans", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    return scan(docs).withColumn("base_spans", base).withColumn("spans", F.array_sort(F.concat("base_spans", added))).drop("candidates")
+    base = F.transform("_base_spans", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    return scan(docs).withColumn("_base_spans", base).withColumn("_spans", F.array_sort(F.concat("_base_spans", added))).drop("_candidates")
 
 
 def _listed(spans: str) -> Column:
@@ -217,10 +217,10 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of each kind, base_sha256 and spans for each row of docs(doc_id, text)."""
     slim = docs.select("doc_id", "text")
     found = with_spans(slim, accepted_from(slim))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
-        F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
+        F.sha2(_listed("_base_spans"), 256).alias("base_sha256"), _listed("_spans").alias("spans"),
     )
 
 
@@ -238,7 +238,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.array_join(F.transform(m, lambda x, k: F.concat(F.substring(text, F.coalesce(F.get(m, k - 1)["end"], F.lit(0)).cast("int") + 1, (x["start"] - F.coalesce(F.get(m, k - 1)["end"], F.lit(0))).cast("int")), F.lit(mark))), ""),
         F.substring(text, F.element_at(m, -1)["end"].cast("int") + 1, F.length(text)),
     )
-    out = found.withColumn("text", F.when(F.size("spans") > 0, let(merged(F.col("spans")), parts)).otherwise(text))
+    out = found.withColumn("text", F.when(F.size("_spans") > 0, let(merged(F.col("_spans")), parts)).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
