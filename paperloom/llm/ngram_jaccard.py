@@ -34,7 +34,7 @@ from paperloom.llm.hashing import Substrings, mixed
 SHINGLE = 5
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 80
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Text for which one bucket of hashes is made.
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
@@ -104,14 +104,28 @@ def sets(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[~again], owner[~again]
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers as planes of their lowest bytes, compressed."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(values).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
+
+
+def _unplaned(data: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        raw = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def _bytes5(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """Keys in order, as their steps."""
+    return _planes(np.diff(keys, prepend=_U(0)), 5)
 
 
 def _from5(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return np.cumsum(_unplaned(data, 5), dtype=_U)
 
 
 PACKED = "bucket long, batch long, keys binary, meta binary, owners binary"
@@ -148,7 +162,7 @@ def _packed(buckets: int):
                 meta = np.concatenate([ids, known, n, *(s.view(np.int64) for s in sums)]).tobytes()
                 keys = [_bytes5(unique[a:b] & _U((1 << LOW) - 1)) for a, b in zip(cuts, ends)]
                 flags = [np.packbits(repeated[a:b]).tobytes() for a, b in zip(cuts, ends)]
-                packed_owners = owner.astype("<u2").tobytes() + np.packbits(fresh).tobytes()
+                packed_owners = _planes(owner, 2) + np.packbits(fresh).tobytes()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([int(own[a]) for a in cuts] + [-1 - number], pa.int64()), pa.array([number] * (len(cuts) + 1), pa.int64()),
                     pa.array(keys + [b""], pa.binary()), pa.array(flags + [meta], pa.binary()), pa.array([None] * len(cuts) + [packed_owners], pa.binary()),
@@ -183,7 +197,7 @@ def _counted(table: pa.Table) -> pa.Table:
     for s in sizes:
         own = rank[at : at + s]
         answers_key.append(_bytes5(key[at : at + s][own > 0]))
-        answers_meta.append(own.tobytes())
+        answers_meta.append(_planes(own, 1))
         at += s
     return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "keys": pa.array(answers_key, pa.binary()), "meta": pa.array(answers_meta, pa.binary()), "owners": table.column("owners")})
 
@@ -199,9 +213,10 @@ def _assembled(table: pa.Table) -> pa.Table:
     ids, known, n, d1, d2 = meta
     docs = len(ids)
     total = int(n.sum())
-    owner = np.frombuffer(rows[0][3], "<u2", total)
-    fresh = np.unpackbits(np.frombuffer(rows[0][3], np.uint8, offset=2 * total), count=total).astype(np.int64)
-    rank = np.concatenate([np.frombuffer(r[2], np.uint8) for r in rows[1:]]) if len(rows) > 1 else np.zeros(0, np.uint8)
+    flags = -(-total // 8)
+    owner = _unplaned(rows[0][3][: len(rows[0][3]) - flags], 2).astype(np.int64)
+    fresh = np.unpackbits(np.frombuffer(rows[0][3], np.uint8, offset=len(rows[0][3]) - flags), count=total).astype(np.int64)
+    rank = np.concatenate([_unplaned(r[2], 1) for r in rows[1:]]).astype(np.uint8) if len(rows) > 1 else np.zeros(0, np.uint8)
     keys = np.zeros(len(rank), _U)
     if len(rank):
         keys[rank > 0] = np.concatenate([_from5(r[1]) | (_U(r[0]) << _U(LOW)) for r in rows[1:]])
