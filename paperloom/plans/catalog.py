@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import fonts as ff
 from paperloom.functions import geometry as g
 from paperloom.functions import text as t
-from paperloom.operators import joins, layout, numbers, pages, recognition, search, signing, views
+from paperloom.operators import fonts, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
 from paperloom.plans import sql
 from paperloom.session import table
+from paperloom.sources import content
+from paperloom.streaming import lines as stream
 
 FLAGSHIP = "check_numbers"
 QUERIES: dict = {}
@@ -366,3 +369,125 @@ def order_quad(spark: SparkSession, d: str) -> DataFrame:
     corners = [q[i][c].alias(f"{n}_{c}") for i, n in enumerate(("tl", "tr", "br", "bl")) for c in ("x", "y")]
     out = quads.select(k, *corners, g.quad_area(q).alias("area"), g.rectangularity(q).alias("rectangularity"))
     return rounded(out, "area", "rectangularity")
+
+
+def _font_names(spark: SparkSession, d: str) -> DataFrame:
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 7
+    name = F.when(k == 0, "ABCDEF+Helvetica-Bold").when(k == 1, "Times New Roman").when(k == 2, "Arial,BoldItalic").when(k == 3, "CourierNewPSMT").when(
+        k == 4, F.concat(F.col("p_name"), F.lit(" Sans"))
+    ).when(k == 5, "HelveticaNeue65Medium").otherwise(F.concat(F.col("p_brand"), F.lit(" Serif Oblique")))
+    return p.select("p_partkey", name.alias("name"))
+
+
+@query("font_families", sql.font_sql())
+def font_families(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("name")
+    f = _font_names(spark, d).select("p_partkey", "name", ff.font_key(n).alias("font_key"), ff.face_key(n).alias("face_key"), ff.face_stem(n).alias("face_stem"), ff.family(n).alias("family"), ff.is_bold(n).alias("bold"), ff.is_italic(n).alias("italic"))
+    return f.withColumn("standard", ff.standard_font(F.col("family"), F.col("bold"), F.col("italic")))
+
+
+@query("closest_font")
+def closest_font(spark: SparkSession, d: str) -> DataFrame:
+    faces = [(1, "embedded", "ABCDEF+Helvetica-Bold"), (2, "system", "Arial"), (3, "system", "Times New Roman Bold"), (4, "bundled", "Liberation Sans"), (5, "bundled", "Liberation Serif"), (6, "standard", "Courier")]
+    hints = _font_names(spark, d).select(F.col("p_partkey").alias("hint_id"), "name")
+    return fonts.closest(hints, spark.createDataFrame(faces, "font_id int, source string, label string"))
+
+
+@query("missing_glyphs", sql.MISSING_GLYPHS)
+def missing_glyphs(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each document that the single-byte encoding lacks, with repeats."""
+    lacking = F.regexp_replace("text", "[\\t\\n\\r\\x20-\\x7e\\xa0-\\xff" + ff.EXTRA + "]", "")
+    return table(spark, d, "documents").select("doc_id", F.length(lacking).cast("long").alias("n_missing"))
+
+
+@query("export_names", sql.EXPORT_NAMES)
+def export_names(spark: SparkSession, d: str) -> DataFrame:
+    m = views.marks(spark, d).withColumn("lane", marks.lane(F.col("kind")))
+    g_ = m.groupBy("doc_id").agg(F.bool_or(F.col("kind") == "erase").alias("erased"), F.count_if(F.col("lane") == "editor").alias("n_editor"), F.count_if(F.col("lane") == "erase").alias("n_erase"))
+    no = F.lit(False)
+    return g_.select("doc_id", marks.export_name(F.col("doc_id").cast("string"), F.col("erased"), F.lit(True), no, no, no).alias("file"), "n_editor", "n_erase")
+
+
+@query("size_labels", sql.SIZE_LABELS)
+def size_labels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k, marks.size_label(k * k * 701).alias("label"))
+
+
+@query("date_stamps", sql.STAMPS)
+def date_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", marks.stamp(F.col("o_orderdate")).alias("stamp"))
+
+
+@query("new_file_names", sql.NEW_NAMES)
+def new_file_names(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 4, F.col("p_name")
+    wanted = F.when(k == 1, F.upper(n)).when(k == 2, F.concat(F.lit("copy of "), n)).when(k == 3, F.concat(F.lit(" "), n, F.lit(".PDF ")))
+    return table(spark, d, "part").select("p_partkey", marks.new_name(F.concat(n, F.lit(".pdf")), wanted).alias("name"))
+
+
+@query("fill_form", sql.FILL_FORM)
+def fill_form(spark: SparkSession, d: str) -> DataFrame:
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    cell = lambda name, kind, value, fixed: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), value.alias("value"), fixed.alias("read_only"))
+    cells = F.array(cell("segment", "text", F.col("c_mktsegment"), k % 3 == 0), cell("balance", "text", F.lit("none"), F.lit(False)), cell("active", "checkbox", F.lit("off"), F.lit(False)))
+    fields = c.select(k.alias("doc_id"), (k % 5 != 0).alias("fillable"), F.inline(cells))
+    values = c.where("c_custkey % 2 = 0").select(k.alias("doc_id"), F.lit("segment").alias("name"), F.concat(F.lit("S"), F.col("c_nationkey").cast("string")).alias("new_value"))
+    values = values.union(c.select(k, F.lit("active"), F.when(k % 4 == 0, "Yes").otherwise("no")))
+    return marks.fill_form(fields, values)
+
+
+@query("signature_sidecar")
+def signature_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    f = views.sign_fields(spark, d)
+    return marks.sidecar(signing.signer_status(f), f)
+
+
+def _streams(spark: SparkSession, d: str) -> DataFrame:
+    """A content stream for each order, with a text object for each run."""
+    r = views.runs(spark, d)
+    show = F.concat(F.lit("BT /"), F.col("font"), F.lit(" 9 Tf 1 0 0 1 "), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(" Tm "), content.literal(F.col("text")), F.lit(" Tj ET"))
+    parts = r.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", "ord", show.alias("show")))).alias("s"))
+    return parts.select("doc_id", "page", F.array_join(F.transform("s", lambda x: x["show"]), "\n").alias("stream"))
+
+
+@query("content_shows", sql.CONTENT_SHOWS)
+def content_shows(spark: SparkSession, d: str) -> DataFrame:
+    return content.shows(_streams(spark, d)).select("doc_id", "text", "font", "x", "y")
+
+
+@query("content_tokens", sql.CONTENT_TOKENS)
+def content_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return content.tokens(_streams(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 127.0 + 128.0).alias("pixels"))
+
+
+@query("pixel_tone", sql.TONE)
+def pixel_tone(spark: SparkSession, d: str) -> DataFrame:
+    total = F.aggregate(pixels.tone(F.col("pixels"), 0.5, 1.2), F.lit(0.0), lambda a, v: a + v)
+    return _images(spark, d).select("vec_id", F.round(total, 3).alias("total"))
+
+
+@query("box_blur")
+def box_blur(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.box_blur(_images(spark, d).select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), "pixels"), 1)
+
+
+@query("homographies")
+def homographies(spark: SparkSession, d: str) -> DataFrame:
+    """The map from a skewed sheet to an upright one, and where it sends the sheet's first corner."""
+    k = F.col("p_partkey")
+    src = F.array(20.0 + k % 5, 10.0 + k % 3, F.lit(180.0), F.lit(30.0), F.lit(160.0), 220.0 - k % 7, F.lit(10.0), F.lit(200.0))
+    dst = F.array(*[F.lit(float(v)) for v in (0, 0, 100, 0, 100, 140, 0, 140)])
+    q = table(spark, d, "part").select(k.alias("quad_id"), src.cast("array<double>").alias("src"), dst.alias("dst"))
+    x, y = pixels.project(F.col("h"), 20.0 + F.col("quad_id") % 5, 10.0 + F.col("quad_id") % 3)
+    return pixels.homographies(q).select("quad_id", F.round(F.abs(x), 6).alias("x"), F.round(F.abs(y), 6).alias("y"))
+
+
+@query("event_windows", sql.EVENT_WINDOWS)
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming aggregate on the table at rest."""
+    return stream.event_windows(table(spark, d, "events")).withColumn("value", F.round("value", 4))

@@ -174,3 +174,45 @@ e AS (SELECT *, abs((bl_x - tl_x) * (tr_x - tl_x) + (bl_y - tl_y) * (tr_y - tl_y
   abs((tr_x - br_x) * (bl_x - br_x) + (tr_y - br_y) * (bl_y - br_y)) / (r * b) AS c3, abs((br_x - bl_x) * (tl_x - bl_x) + (br_y - bl_y) * (tl_y - bl_y)) / (b * l) AS c4 FROM d)
 SELECT p_partkey, tl_x, tl_y, tr_x, tr_y, br_x, br_y, bl_x, bl_y, round(area, 6) AS area,
   round(least(1.0, greatest(0.0, (1 - abs(t - b) / greatest(t, b, 1) + 1 - abs(l - r) / greatest(l, r, 1) + (4 - c1 - c2 - c3 - c4) / 4) / 3)), 6) AS rectangularity FROM e"""
+
+FONT_NAME = """fonts0 AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'ABCDEF+Helvetica-Bold' WHEN 1 THEN 'Times New Roman' WHEN 2 THEN 'Arial,BoldItalic' WHEN 3 THEN 'CourierNewPSMT'
+  WHEN 4 THEN p_name || ' Sans' WHEN 5 THEN 'HelveticaNeue65Medium' ELSE p_brand || ' Serif Oblique' END AS name FROM part)"""
+_SUBSET = "regexp_replace(name, '^[A-Z]{6}\\+', '')"
+_PLAIN = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({n}, '[,_{x}]', '-', 'g'), '\\s+', '-', 'g'), '(?i)mt$', ''), '(?i)ps$', ''))"
+
+
+def font_sql() -> str:
+    from paperloom.functions.fonts import FAMILIES, STYLE_SUFFIX, WEIGHT_NUMBER
+
+    key = _PLAIN.replace("{n}", _SUBSET)
+    face = f"regexp_replace({key.replace('{x}', '+')}, '[^a-z0-9]+', '', 'g')"
+    whens = " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{k}'" for k, p in FAMILIES)
+    return f"""WITH {FONT_NAME}, f AS (SELECT p_partkey, name, {key.replace('{x}', '')} AS font_key, {face} AS face_key,
+  CASE {whens} WHEN regexp_matches(lower(name), '\\bserif\\b') AND NOT regexp_matches(lower(name), 'sans') THEN 'times' WHEN contains(lower(name), 'sans') THEN 'helvetica'
+    WHEN contains(lower(name), 'mono') THEN 'courier' ELSE 'unknown' END AS family,
+  regexp_matches(name, '(?i)bold|black|heavy|semibold|demi') AS bold, regexp_matches(name, '(?i)italic|oblique|obli') AS italic FROM fonts0)
+SELECT p_partkey, name, font_key, face_key, regexp_replace(regexp_replace(face_key, '{WEIGHT_NUMBER}', ''), '{STYLE_SUFFIX}', '') AS face_stem, family, bold, italic,
+  CASE family WHEN 'times' THEN 'Times' WHEN 'courier' THEN 'Courier' ELSE 'Helvetica' END ||
+  CASE WHEN bold AND italic THEN CASE family WHEN 'times' THEN '-BoldItalic' ELSE '-BoldOblique' END WHEN bold THEN '-Bold' WHEN italic THEN CASE family WHEN 'times' THEN '-Italic' ELSE '-Oblique' END
+    WHEN family = 'times' THEN '-Roman' ELSE '' END AS standard FROM f"""
+
+
+MISSING_GLYPHS = """SELECT doc_id, length(regexp_replace(translate(text, '€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ', ''), '[\\t\\n\\r\\x20-\\x7e\\x{a0}-\\x{ff}]', '', 'g')) AS n_missing FROM documents"""
+EXPORT_NAMES = f"""WITH {MARKS} SELECT doc_id, doc_id || CASE WHEN bool_or(kind = 'erase') THEN '-redacted.pdf' ELSE '-marked.pdf' END AS file,
+  count(*) FILTER (WHERE kind = 'highlight') AS n_editor, count(*) FILTER (WHERE kind = 'erase') AS n_erase FROM marks GROUP BY doc_id"""
+SIZE_LABELS = """SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN CAST(CAST(round(b / 1024.0) AS BIGINT) AS VARCHAR) || ' KB' WHEN b < 1073741824 THEN printf('%.1f', round(b / 1048576.0, 1)) || ' MB'
+  ELSE printf('%.2f', round(b / 1073741824.0, 2)) || ' GB' END AS label FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * 701 AS BIGINT) AS b FROM orders)"""
+STAMPS = "SELECT o_orderkey, 'D:' || strftime(o_orderdate, '%Y%m%d%H%M%S') || 'Z' AS stamp FROM orders"
+NEW_NAMES = """WITH n AS (SELECT p_partkey, p_name || '.pdf' AS original, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN upper(p_name) WHEN 2 THEN 'copy of ' || p_name ELSE ' ' || p_name || '.PDF ' END AS suggested FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN suggested || '.pdf' ELSE regexp_replace(original, '\\.pdf$', '') || '-edited.pdf' END AS name FROM n"""
+FILL_FORM = """WITH f AS (SELECT c_custkey AS doc_id, unnest(['segment', 'balance', 'active']) AS name, unnest(['text', 'text', 'checkbox']) AS kind,
+    unnest([c_mktsegment, 'none', 'off']) AS value, c_custkey % 5 <> 0 AS fillable, unnest([c_custkey % 3 = 0, false, false]) AS read_only FROM customer),
+v AS (SELECT c_custkey AS doc_id, 'segment' AS name, 'S' || c_nationkey AS new_value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'active', CASE WHEN c_custkey % 4 = 0 THEN 'Yes' ELSE 'no' END FROM customer),
+j AS (SELECT f.*, v.new_value, v.new_value IS NOT NULL AND fillable AND NOT read_only AS filled FROM f LEFT JOIN v ON f.doc_id = v.doc_id AND f.name = v.name)
+SELECT doc_id, name, kind, filled, CASE WHEN filled THEN CASE WHEN kind = 'checkbox' THEN CASE WHEN lower(new_value) IN ('yes', 'true', 'on', '1') THEN 'yes' ELSE 'off' END ELSE new_value END ELSE value END AS value FROM j"""
+CONTENT_SHOWS = f"WITH {RUNS} SELECT doc_id, text, CASE WHEN ord = 0 THEN 'F1' ELSE 'F2' END AS font, x, y FROM runs"
+CONTENT_TOKENS = f"""WITH {RUNS}, k AS (SELECT unnest(['op', 'name', 'num', 'op', 'num', 'op', 'string', 'op', 'op']) AS kind, unnest([1, 1, 1, 1, 6, 1, 1, 1, 1]) AS n FROM runs)
+SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY kind"""
+TONE = """WITH p AS (SELECT vec_id, [v * 127.0::DOUBLE + 128.0::DOUBLE FOR v IN embedding] AS px FROM embeddings)
+SELECT vec_id, round(list_sum([least(255.0, greatest(0.0, floor((v * 2.0::DOUBLE ** 0.5 - 128.0) * 1.2 + 128.0 + 0.5))) FOR v IN px])::DOUBLE, 3) AS total FROM p"""
+EVENT_WINDOWS = """SELECT epoch_ms(CAST(floor(epoch_ms(ts) / 3600000) * 3600000 AS BIGINT)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"""
