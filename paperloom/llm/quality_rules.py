@@ -41,10 +41,12 @@ def count_of(text: Column, pattern: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in 3-word windows found twice or more. Windows are sorted with their places; those equal to a
     neighbour repeat, and each covers three words less what the next one covers too."""
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
-    )
+
+    def windows(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
+            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")),
+        )
 
     def places(s: Column) -> Column:
         alike = F.filter(s, lambda x, k: (F.get(s, k - 1)["w"].eqNullSafe(x["w"])) | (F.get(s, k + 1)["w"].eqNullSafe(x["w"])))
@@ -53,7 +55,9 @@ def repeated_words(words: Column) -> Column:
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3)))), F.lit(0).cast("long"), lambda a, n: a + n)
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(let(F.array_sort(windows), places), covered))
+    # Whatever a lambda reads is bound first: an expression inside one would be computed for each element if a filter on
+    # the result is moved below the projection.
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(let(F.array_sort(windows(w)), places), covered)))
 
 
 def judged_lines(text: Column) -> Column:

@@ -108,9 +108,11 @@ def scan(docs: DataFrame) -> DataFrame:
         _where(text.rlike(HEX), spans(text, HEX, 2, None, 32)),
     )
     d = d.withColumn("_base_spans", F.array_sort(base)).withColumn("_secret_maybe", _where(text.rlike(CANDIDATE), spans(text, CANDIDATE, 3)))
-    apart = F.filter(
-        "_secret_maybe",
-        lambda c: ~c["found"].rlike(UUID) & ~F.exists("_base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+    apart = let(
+        F.col("_base_spans"),
+        lambda base: F.filter(
+            "_secret_maybe", lambda c: ~c["found"].rlike(UUID) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        ),
     )
     return d.withColumn("_candidates", F.transform(apart, tested)).drop("_secret_named", "_secret_maybe")
 
@@ -229,16 +231,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = with_spans(docs, accepted_from(docs.select("doc_id", "text")))
 
     def merged(s: Column) -> Column:
-        reach = F.transform(s, lambda x, k: F.array_max(F.transform(F.slice(s, 1, k + 1), lambda y: y["end"])))
-        first = F.filter(s, lambda x, k: (k == 0) | (x["start"] > F.get(reach, k - 1)))
-        return F.transform(first, lambda x, k: F.struct(x["start"].alias("start"), F.array_max(F.transform(F.filter(s, lambda y: y["start"] < F.coalesce(F.get(first, k + 1)["start"], F.lit(1 << 62))), lambda y: y["end"])).alias("end")))
+        """Spans joined where they overlap: a fold over the spans in order that keeps the last one open."""
+        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+        def add(a: Column, x: Column) -> Column:
+            last = F.try_element_at(a, F.lit(-1))
+            one = F.struct(x["start"].alias("start"), x["end"].alias("end"))
+            wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+            return F.when((F.size(a) > 0) & (x["start"] < F.try_element_at(a, F.lit(-1))["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(wider))).otherwise(F.concat(a, F.array(one)))
+
+        return F.aggregate(s, none, add)
 
     text = F.col("text")
     parts = lambda m: F.concat(
         F.array_join(F.transform(m, lambda x, k: F.concat(F.substring(text, F.coalesce(F.get(m, k - 1)["end"], F.lit(0)).cast("int") + 1, (x["start"] - F.coalesce(F.get(m, k - 1)["end"], F.lit(0))).cast("int")), F.lit(mark))), ""),
         F.substring(text, F.element_at(m, -1)["end"].cast("int") + 1, F.length(text)),
     )
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, let(merged(F.col("_spans")), parts)).otherwise(text))
+    out = found.withColumn("text", F.when(F.size("_spans") > 0, let(let(F.col("_spans"), merged), parts)).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
