@@ -16,7 +16,6 @@ scored; extra columns are dropped.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ TRAIN_DOCS = 8000
 MOST_TERMS = 2000
 #: Least likelihood ratio (p about one in two million) and least number of toxic documents for a term.
 LEAST_G, LEAST_DOCS = 25.0, 4
+#: Least log odds: a shorter stem that clean texts hold too gives way to longer ones.
+LEAST_ODDS = 3.0
 STEMS = range(4, 9)
 #: Words from this length on may differ from a term by one edit.
 FUZZY = 5
@@ -43,7 +44,8 @@ OPENING = "\"'“«„‘‹"
 CLOSING = "\"'”»“’›"
 REPORTING = frozenset("said says saying quote quoted quotes wrote writes called sagte sagt schrieb zitat dit écrit citation dijo dice escribió cita".split())
 ADDRESS = frozenset("you your yours you're ur u yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes".split())
-TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+#: Marks around a word that aren't part of it.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‹›‘’‚…–—¡¿·•"
 
 
 class Trie:
@@ -58,45 +60,56 @@ class Trie:
             for c in term.rstrip("*"):
                 node = node.setdefault(c, {})
             node["*" if term.endswith("*") else "$"] = term
-        halves = set()
+        self.exact = {t for t in terms if not t.endswith("*")}
+        self.stems: dict[int, set[str]] = {}
+        self.heads: dict[int, dict[int, set[str]]] = {}
+        self.tails: dict[int, dict[int, set[str]]] = {}
         for term in terms:
             if term.endswith("*"):
-                halves.add("^" + r"[\W_]*" + re.escape(term[:-1]))
-            elif len(term) < FUZZY:
-                halves.add("^" + r"[\W_]*" + re.escape(term) + r"[\W_]*$")
-            else:
+                self.stems.setdefault(len(term) - 1, set()).add(term[:-1])
+            elif len(term) >= FUZZY:
                 h = len(term) // 2
-                halves.add("^" + r"[\W_]*" + re.escape(term[:h]))
-                halves.add(re.escape(term[h:]) + r"[\W_]*$")
-        #: A word with a term within one edit holds the term's first half at its start or its second half at its end.
-        self.filter = "|".join(sorted(halves)) if halves else None
+                for n in range(len(term) - 1, len(term) + 2):
+                    self.heads.setdefault(n, {}).setdefault(h, set()).add(term[:h])
+                    self.tails.setdefault(n, {}).setdefault(len(term) - h, set()).add(term[h:])
+
+    def maybe(self, word: str) -> bool:
+        """Whether a word can match: one within an edit of a term holds the term's first half at its start or its second
+        half at its end."""
+        n = len(word)
+        if word in self.exact or any(n > k and word[:k] in s for k, s in self.stems.items()):
+            return True
+        heads = self.heads.get(n)
+        return heads is not None and (any(word[:h] in s for h, s in heads.items()) or any(word[-k:] in s for k, s in self.tails[n].items()))
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term and its distance (0 or 1): the automaton's state is a row of edit distances, kept only while
-        one of them is at most 1, and moves along the trie's edges."""
-        best = None
-        allowed = 1 if len(word) >= FUZZY - 1 else 0
-        stack = [(self.root, list(range(len(word) + 1)), 0)]
+        """The nearest term and its distance (0 or 1). The automaton's states are a place in the word and the edits so far;
+        they move along the trie's edges, so only beginnings that some term shares are followed."""
+        found: list[tuple[int, str]] = []
+        n, fuzzy = len(word), len(word) >= FUZZY - 1
+        stack = [(self.root, 0, 0)]
         while stack:
-            node, row, depth = stack.pop()
-            for c, after in node.items():
-                if c == "$":
-                    d = row[-1]
-                    if d == 0 or (d <= allowed and len(after) >= FUZZY):
-                        if best is None or (d, after) < (best[1], best[0]):
-                            best = (after, d)
-                elif c == "*":
-                    if depth < len(word) and row[depth] == 0 and (best is None or (0, after) < (best[1], best[0])):
-                        best = (after, 0)
-                else:
-                    low, high = max(1, depth - 1), min(len(word), depth + 3)
-                    new = [9] * (len(word) + 1)
-                    new[0] = depth + 1
-                    for k in range(low, high + 1):
-                        new[k] = min(row[k - 1] + (word[k - 1] != c), row[k] + 1, new[k - 1] + 1)
-                    if min(new[max(0, low - 1) : high + 1]) <= allowed:
-                        stack.append((after, new, depth + 1))
-        return best
+            node, at, edits = stack.pop()
+            if at == n:
+                term = node.get("$")
+                if term is not None and (edits == 0 or len(term) >= FUZZY):
+                    found.append((edits, term))
+            elif edits == 0 and "*" in node:
+                found.append((0, node["*"]))
+            if at < n and (after := node.get(word[at])) is not None and word[at] not in "$*":
+                stack.append((after, at + 1, edits))
+            if edits == 0 and fuzzy:
+                if at < n:
+                    stack.append((node, at + 1, 1))  # a letter too many
+                for c, after in node.items():
+                    if c not in "$*":
+                        stack.append((after, at, 1))  # a letter too few
+                        if at < n and c != word[at]:
+                            stack.append((after, at + 1, 1))  # another letter
+        if not found:
+            return None
+        edits, term = min(found)
+        return term, edits
 
 
 FEATURES = ("weight", "rate", "distinct", "misspelled", "quoted", "abusive", "stems")
@@ -110,18 +123,18 @@ def features(column: pa.Array, trie: Trie, cache: dict) -> np.ndarray:
         lists = lists.combine_chunks()
     flat, many = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((n, len(FEATURES)))
-    if not len(flat) or trie.filter is None:
+    if not len(flat) or not trie.terms:
         return out
     coded = flat.dictionary_encode()
-    maybe = np.flatnonzero(pc.match_substring_regex(coded.dictionary, trie.filter).to_numpy(zero_copy_only=False))
     found: dict[int, tuple[str, int]] = {}
-    for k, word in zip(maybe.tolist(), coded.dictionary.take(pa.array(maybe)).to_pylist()):
-        if word not in cache:
-            if len(cache) > 200_000:
-                cache.clear()
-            cache[word] = trie.match(TRIM.sub("", word))
-        if cache[word]:
-            found[k] = cache[word]
+    for k, word in enumerate(pc.utf8_trim(coded.dictionary, MARKS).to_pylist()):
+        if trie.maybe(word):
+            if word not in cache:
+                if len(cache) > 200_000:
+                    cache.clear()
+                cache[word] = trie.match(word)
+            if cache[word]:
+                found[k] = cache[word]
     if not found:
         return out
     codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -138,8 +151,8 @@ def features(column: pa.Array, trie: Trie, cache: dict) -> np.ndarray:
         k = at - begin
         opened = any(w[:1] and w[0] in OPENING for w in around[: k + 1])
         closed = any(w[-1:] and w.rstrip(".,;:!?")[-1:] and w.rstrip(".,;:!?")[-1] in CLOSING for w in around[k:])
-        quoted = (opened and closed) or any(TRIM.sub("", w) in REPORTING for w in around)
-        abusive = any(TRIM.sub("", w) in ADDRESS for w in around) or int(is_hit[codes[begin:end]].sum()) > 1
+        quoted = (opened and closed) or any(w.strip(MARKS) in REPORTING for w in around)
+        abusive = any(w.strip(MARKS) in ADDRESS for w in around) or int(is_hit[codes[begin:end]].sum()) > 1
         row = out[d]
         row[0] += trie.terms[term] * (0.5 if quoted else 1.0)
         row[3] += distance
@@ -162,7 +175,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         counts: dict[str, list[int]] = {}
         for batch in pieces(batches, BATCH_BYTES):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {TRIM.sub("", w) for w in (text or "").lower().split()} - {""}
+                words = {w.strip(MARKS) for w in (text or "").lower().split()} - {""}
                 terms = words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
                 for t in terms:
                     counts.setdefault(t, [0, 0])[toxic] += 1
@@ -179,7 +192,9 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     rest = lambda x, m: F.when(m - x > 0, (m - x) * F.log((m - x) * float(clean + toxic) / ((clean + toxic - a - b) * float(m)))).otherwise(0.0)
     g = 2 * (share(a, toxic) + share(b, clean) + rest(a, toxic) + rest(b, clean))
     odds = F.log(((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1)))
-    top = counted.where(a >= LEAST_DOCS).select("term", g.alias("g"), odds.alias("odds")).where((F.col("g") >= LEAST_G) & (F.col("odds") > 1)).orderBy(F.desc("g"), "term").limit(MOST_TERMS)
+    # A word goes before a stem that says little more: words are also found with an edit.
+    rank = F.col("g") * F.when(F.col("term").endswith("*"), 1.0).otherwise(1.15)
+    top = counted.where(a >= LEAST_DOCS).select("term", g.alias("g"), odds.alias("odds")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS)).orderBy(rank.desc(), "term").limit(MOST_TERMS)
     terms: dict[str, float] = {}
     for r in top.collect():
         name = r.term.rstrip("*")
@@ -215,6 +230,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     ids = sampled(known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), train_docs, "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # Copies would make the words of one text look like words of many: of texts that share their least shingle, one stays.
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
+    shingles = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0))), lambda k: F.xxhash64(F.slice(w, k + 1, F.lit(4))))
+    shingle = F.transform(F.array(words), shingles)[0]  # the words are split once, not for each shingle
+    rows = rows.withColumn("least", F.array_min(shingle)).dropDuplicates(["least", "toxic"]).select("text", "toxic")
     rows = rows.cache()
     try:
         terms = learn_lexicon(rows)
