@@ -14,7 +14,7 @@ SPAN, K = 100, 32
 #: A string of SPAN bytes holds so many bytes on one side of its sampled K bytes at least.
 HALF = (SPAN - K) // 2
 #: Positions looked at together; a longer text is taken in pieces that overlap by SPAN - 1 bytes.
-PIECE = 1 << 22
+PIECE = 1 << 21
 _BITS = PIECE.bit_length() + 1
 _U = np.uint64
 
