@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fonts as ff
 from paperloom.functions import geometry as g
 from paperloom.functions import text as t
-from paperloom.operators import fonts, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
+from paperloom.operators import drafts, fonts, glyphs, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
 from paperloom.plans import sql
 from paperloom.session import table
 from paperloom.sources import content
@@ -491,3 +491,52 @@ def homographies(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """The streaming aggregate on the table at rest."""
     return stream.event_windows(table(spark, d, "events")).withColumn("value", F.round("value", 4))
+
+
+def _page_items(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of a page as items in reading order; the last of a line ends it."""
+    r = views.runs(spark, d)
+    return r.select("doc_id", "page", (F.col("line") * 10 + F.col("ord")).alias("ord"), "text", "x", "y", "width", "height", (F.col("ord") == 3).alias("has_eol"))
+
+
+@query("glyph_hits")
+def glyph_hits(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase over two items without a blank between them, with its boxes."""
+    hits = glyphs.find_hits(_page_items(spark, d), "widget1")
+    return hits.select("doc_id", "page", "first", "last", "matched", F.size("rects").alias("n_rects"))
+
+
+@query("erased_text")
+def erased_text(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each run when every "widget" is erased for good."""
+    items = _page_items(spark, d)
+    return glyphs.kept_text(items, glyphs.erase_marks(glyphs.find_hits(items, "widget")))
+
+
+@query("split_drafts", sql.SPLIT_DRAFTS)
+def split_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each line reversed and dealt back onto its runs."""
+    r = views.runs(spark, d)
+    line = r.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("t"))
+    draft = line.select("doc_id", "line", F.array_join(F.reverse(F.split("t", " ")), " ").alias("draft"))
+    return drafts.split_across_runs(r.select("doc_id", "line", "ord", "text"), draft)
+
+
+@query("wrapped_lines", sql.WRAPPED)
+def wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts and types on lines so narrow that every word has its own."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.posexplode(drafts.wrapped(F.concat_ws(" ", "p_name", "p_type"), 10.0, 5.0)).alias("n", "line"))
+
+
+@query("shortened_lines")
+def shortened_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "part").select("p_partkey", F.concat(F.lit("please note that the very "), F.col("p_name"), F.lit(" is just "), F.col("p_type")).alias("text"))
+    return drafts.shortened(docs, "text", 10.0, 150.0)
+
+
+@query("match_lines", sql.MATCH_LINES)
+def match_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of each page found again among its shows, where every third order lost its amounts."""
+    r = views.runs(spark, d)
+    return drafts.match_lines(r, r.where("not (doc_id % 3 = 0 and ord = 3)")).select("doc_id", "n_lines", "n_matched", F.round("ratio", 6).alias("ratio"))

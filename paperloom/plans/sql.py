@@ -216,3 +216,12 @@ SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY kind"""
 TONE = """WITH p AS (SELECT vec_id, [v * 127.0::DOUBLE + 128.0::DOUBLE FOR v IN embedding] AS px FROM embeddings)
 SELECT vec_id, round(list_sum([least(255.0, greatest(0.0, floor((v * 2.0::DOUBLE ** 0.5 - 128.0) * 1.2 + 128.0 + 0.5))) FOR v IN px])::DOUBLE, 3) AS total FROM p"""
 EVENT_WINDOWS = """SELECT epoch_ms(CAST(floor(epoch_ms(ts) / 3600000) * 3600000 AS BIGINT)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"""
+
+SPLIT_DRAFTS = f"""WITH {RUNS}, l AS (SELECT doc_id, line, list_reverse(string_split(string_agg(text, ' ' ORDER BY ord), ' ')) AS w FROM runs GROUP BY doc_id, line),
+t AS (SELECT doc_id, line, ord, len(string_split(text, ' ')) AS take FROM runs),
+f AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY doc_id, line ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip FROM t)
+SELECT doc_id, line, ord, array_to_string(w[CAST(skip AS BIGINT) + 1:CASE WHEN ord = 3 THEN len(w) ELSE CAST(skip + take AS BIGINT) END], ' ') AS draft FROM f JOIN l USING (doc_id, line)"""
+WRAPPED = """WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS l FROM part) SELECT p_partkey, CAST(unnest(range(len(l))) AS INTEGER) AS n, unnest(l) AS line FROM w"""
+MATCH_LINES = f"""WITH {RUNS}, s AS (SELECT DISTINCT doc_id, text FROM runs WHERE NOT (doc_id % 3 = 0 AND ord = 3)),
+j AS (SELECT r.doc_id, s.text IS NOT NULL AS met FROM runs r LEFT JOIN s ON r.doc_id = s.doc_id AND r.text = s.text)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE met) AS n_matched, round(count(*) FILTER (WHERE met) / count(*), 6) AS ratio FROM j GROUP BY doc_id"""

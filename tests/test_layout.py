@@ -137,3 +137,48 @@ def test_search(spark):
 def test_otsu(spark):
     h = spark.createDataFrame([("a", 10, 50), ("a", 12, 50), ("a", 200, 40), ("a", 210, 40)], "image_id string, level int, n long")
     assert recognition.otsu(h).first().threshold == 12
+
+
+def page_items(spark, *items):
+    rows = [(1, 1, k, s, float(x), 700.0 - 20 * row, float(w), 10.0, eol) for k, (s, x, row, w, eol) in enumerate(items)]
+    return spark.createDataFrame(rows, "doc_id long, page int, ord int, text string, x double, y double, width double, height double, has_eol boolean")
+
+
+@pytest.mark.parametrize("items,query,want", [
+    ([("SE", 40, 0, 24, False), ("CRET", 64, 0, 48, False)], "SECRET", [("SECRET", 1)]),
+    ([("SECRET", 40, 0, 60, False)], "   ", []),
+    ([("😀SECRET", 40, 0, 70, False)], "secret", [("SECRET", 1)]),
+    ([("Aİ SECRET", 40, 0, 70, False)], "secret", [("SECRET", 1)]),
+    ([("Social Security", 40, 0, 90, True), ("Number 123", 40, 1, 60, False)], "Security Number", [("Security\nNumber", 2)]),
+    ([("FIRST  LAST", 40, 0, 70, False)], "first last", [("FIRST  LAST", 1)]),
+    ([("foo bar", 40, 0, 50, False)], "foobar", []),
+])
+def test_glyph_search(spark, items, query, want):
+    from paperloom.operators import glyphs
+
+    hits = glyphs.find_hits(page_items(spark, *items), query).collect()
+    assert [(h.matched, len(h.rects)) for h in hits] == want
+
+
+def test_erased_glyphs_are_gone_and_others_stay(spark):
+    from paperloom.operators import glyphs
+
+    items = page_items(spark, ("KEEP this", 40, 0, 60, True), ("the SECRET part", 40, 3, 100, True), ("VISIBLE", 40, 6, 50, False))
+    marks = glyphs.erase_marks(glyphs.find_hits(items, "secret"))
+    kept = [r.kept for r in glyphs.kept_text(items, marks).orderBy("ord").collect()]
+    assert kept[0] == "KEEP this" and kept[2] == "VISIBLE" and "SECRET" not in kept[1] and kept[1].startswith("th") and kept[1].endswith("art")
+
+
+def test_drafts(spark):
+    from paperloom.operators import drafts
+
+    runs = spark.createDataFrame([(1, 1, 0, "Paid To"), (1, 1, 1, "PayPal"), (1, 1, 2, "now")], "doc_id long, line int, ord int, text string")
+    draft = lambda t_: spark.createDataFrame([(1, 1, t_)], "doc_id long, line int, draft string")
+    got = lambda t_: [r.draft for r in drafts.split_across_runs(runs, draft(t_)).orderBy("ord").collect()]
+    assert got("Sent By Visa right away") == ["Sent By", "Visa", "right away"] and got("One") == ["One", "", ""] and got(" ") == ["", "", ""]
+    assert one(spark, drafts.wrapped(F.lit("aaa bbb ccc"), 10.0, 35.0)) == ["aaa bbb", "ccc"] and one(spark, drafts.wrapped(F.lit("  "), 10.0, 35.0)) == []
+    text = lambda w: drafts.shortened(spark.createDataFrame([("please note that the very long title is just here",)], "t string"), "t", 10.0, w).first().t
+    assert text(1000.0) == "please note that the very long title is just here" and text(160.0) == "the very long title is just here" and text(60.0).endswith("…")
+    shown = spark.createDataFrame([(1, 1, "POS"), (1, 1, "DEBIT"), (1, 1, "Total  due")], "doc_id long, page int, text string")
+    seen = spark.createDataFrame([(1, 1, "POS DEBIT 6205"), (1, 1, "Total due")], "doc_id long, page int, text string")
+    assert drafts.match_lines(seen, shown).first().ratio == 0.5
