@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import SPACES, WORD
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Notices found at the foot or head of web pages; a line with one of them is boilerplate.
+#: Notices found at the foot or head of web pages, as words of their own; a line is boilerplate if it holds one and has at
+#: most NOTICE_WORDS words, or if notices make up half of its words.
 BOILERPLATE = (
-    r"(?i)(licen[cs]ed under|copyright|all rights reserved|cookie|privacy policy|terms of (use|service)|subscribe|"
-    r"log ?in|sign ?up|click here|javascript)"
+    r"(?i)(?<!\p{L})(?:licen[cs]ed under|copyright(?:s|ed)?|all rights reserved|cookies?|privacy polic(?:y|ies)|terms of (?:use|service)|"
+    r"subscribe(?:d|rs?|s)?|log ?ins?|sign ?ups?|click here|javascript)(?!\p{L})"
 )
+NOTICE_WORDS = 25
 MOST_LOST = 0.5
 MIN_WORDS = 50
 
@@ -38,6 +40,11 @@ def count_of(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("long")
 
 
+def unnoticed(line: Column) -> Column:
+    """Words of a line, marks aside, that belong to no notice."""
+    return F.size(F.regexp_extract_all(F.regexp_replace(line, BOILERPLATE, " "), F.lit(rf"{WORD[:-1]}*[\p{{L}}\p{{N}}]{WORD[:-1]}*"), F.lit(0)))
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in 3-word windows found twice or more. Windows are sorted with their places; those equal to a
     neighbour repeat, and each covers three words less what the next one covers too."""
@@ -77,7 +84,7 @@ def judged_lines(text: Column) -> Column:
                 | ((symbols >= 3) & (symbols > 0.3 * words))
                 | (bars >= 3)
                 | ((marks >= 3) & (marks >= 0.3 * words))
-                | line.rlike(BOILERPLATE)
+                | (line.rlike(BOILERPLATE) & ((words <= NOTICE_WORDS) | (2 * unnoticed(line) <= words)))
             )
             return F.struct(x["i"].alias("i"), line.alias("line"), word.alias("word"), dup.alias("dup"), fails.alias("fails"))
 

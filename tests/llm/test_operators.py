@@ -183,6 +183,17 @@ def test_quality_clean_removes_lines(spark):
     assert got == {1: (good, len(good))}
 
 
+def test_quality_keeps_prose_that_mentions_notices(spark):
+    base = " ".join(f"{w}{k}" for k in range(2) for w in brute.BASE.split())
+    kept = [base + f" {m} " + base[::-1] for m in ("the copyright of songs", "a cookie jar", "people subscribe to it", "some javascript", "catalog in", "design up", "please log in")]
+    # Words that only hold a notice's letters fail no short line either.
+    kept += [base + "\nThe dialog in the catalog in question", base + "\nShe will redesign up to six"]
+    lost = ["Copyright 2024", "We use cookies.", "Log in | Sign up", "Privacy policies", "Licensed under CC BY 4.0", "log in, sign up, subscribe, " * 12]
+    data = list(enumerate(kept + [base + "\n" + n for n in lost]))
+    got = {r.doc_id: r.text for r in quality_rules.clean(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: t if i < len(kept) else base for i, t in data}
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     words = {i: len(brute.WORD.findall(t or "")) for i, t in brute.TEXTS}
