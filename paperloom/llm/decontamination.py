@@ -296,33 +296,47 @@ def report(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
     )
 
 
+def _cut(text: str, spans: list[dict]) -> str:
+    """The text without the spans; those that overlap or follow word on word are cut as one."""
+    raw, done, kept, reach = text.encode(), 0, [], -1
+    for x in sorted(spans, key=lambda x: (x["word_start"], x["word_end"])):
+        if x["word_start"] > reach:
+            kept.append(raw[done : x["start"]])
+        done, reach = max(done, x["end"]), max(reach, x["word_end"])
+    return b"".join([*kept, raw[done:]]).decode()
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The same rows and columns without the hit words (n_chars follows the text where there is one)."""
-    out = docs
+    """The same rows and columns without the hit words (n_chars follows the text where there is one). Every block is
+    searched in the text as it came; what all of them hit is cut once, after the last."""
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    at = docs.columns.index("text")
-    for phrases in _blocks(benchmark, block_words):
+    at, n = docs.columns.index("text"), len(docs.columns)
+    found = T.StructType([*docs.schema, T.StructField("_spans", FOUND["spans"].dataType)])
+    blocks = _blocks(benchmark, block_words)
+    phrases, out, first = next(blocks, None), docs, True
+    while phrases is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
-        def cut_out(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=following is None) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, SHARD_BYTES):
-                h = Hits(batch.column(at), shared.value)
-                if not len(h.span_doc):
-                    yield batch
+                columns, names = batch.columns[:n], batch.schema.names[:n]
+                spans = _found(columns[at], shared.value)[1]
+                if not first:
+                    spans = pa.array([a + b for a, b in zip(batch.column(n).to_pylist(), spans.to_pylist())], spans.type)
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "_spans"])
                     continue
-                text = batch.column(at).to_pylist()
-                for d in np.unique(h.span_doc):
-                    raw, done, kept = h.data[h.begins[d] : h.begins[d + 1]].tobytes(), 0, []
-                    mine = h.span_doc == d
-                    for a, b in zip(h.span_start[mine] - h.begins[d], h.span_end[mine] - h.begins[d]):
-                        kept.append(raw[done:a])
-                        done = b
-                    text[d] = b"".join([*kept, raw[done:]]).decode()
-                columns = [*batch.columns]
-                columns[at] = pa.array(text, batch.schema.field(at).type)
-                if chars is not None:
-                    columns[chars] = pa.array([None if t is None else len(t) for t in text], batch.schema.field(chars).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = out.mapInArrow(cut_out, docs.schema)
+                many = np.diff(spans.offsets.to_numpy())
+                if many.any():
+                    text = columns[at].to_pylist()
+                    for d in np.flatnonzero(many).tolist():
+                        text[d] = _cut(text[d], spans[d].as_py())
+                    columns[at] = pa.array(text, columns[at].type)
+                    if chars is not None:
+                        columns[chars] = pa.array([None if t is None else len(t) for t in text], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        out = out.mapInArrow(search, found if following else docs.schema)
+        phrases, first = following, False
     return out

@@ -153,6 +153,22 @@ def test_decontamination_clean(spark, docs):
     assert got[6][1] == len(got[6][0]) and got[1][0] is None and got[11][0] == brute.LONG
 
 
+def test_decontamination_clean_is_the_same_in_blocks(spark):
+    w = [f"w{k}" for k in range(40)]
+    # b overlaps a, c follows a word on word elsewhere, and d lies on both sides of a.
+    items = [("a", " ".join(w[:12])), ("b", " ".join(w[8:20])), ("c", " ".join(w[20:32])), ("d", "p q r s t u v x y z")]
+    texts = ["Start, " + ", ".join(w[:22]) + " end", " ".join(w[:12] + w[20:32]) + ".", "p q r s t " + " ".join(w[:12]) + " u v x y z", "clean", None, "é " + " ".join(w[5:36])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    want = rows(decontamination.clean(docs, bench), "text", "n_chars")
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.report(docs, bench, block_words=12).collect()}
+    for size in (5, 12, 24):
+        assert rows(decontamination.clean(docs, bench, block_words=size), "text", "n_chars") == want
+    assert want[0][0] == "Start, , w20, w21 end" and want[1][0] == "." and want[2][0] == "p q r s t  u v x y z"
+    for i, (t, _) in want.items():
+        assert len(brute.BENCH_WORD.findall(brute.lower(t or ""))) == hit[i][0] - hit[i][1]
+
+
 def test_index_locates_every_occurrence():
     import numpy as np
 
