@@ -23,15 +23,18 @@ def occurrences(text: Column, needle: Column) -> Column:
 
 
 def find_lines(lines: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of queries(query_id, query) in lines(doc_id, seq, text): place and snippet. A query is looked for only in lines
-    that hold its rarest-looking (longest) word, so lines and queries meet in an equi-join, not pairwise."""
+    """Hits of queries(query_id, query) in lines(doc_id, seq, text): place and snippet. Wherever a query of three words or
+    more stands, its inner words stand between blanks, so lines and queries meet in an equi-join on the longest of them.
+    Marks or letters may touch the words of shorter ones; those are tested on every line."""
     q = queries.select("query_id", normalized_query(F.lower("query")).alias("needle")).where("needle <> ''")
-    word = F.array_max(F.transform(F.split("needle", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = q.withColumn("word", word)
+    words = F.split("needle", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    q = q.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     text = normalized_query(F.lower("text"))
-    tokens = lines.select("doc_id", "seq", text.alias("text")).where("text <> ''")
-    tokens = tokens.withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
-    met = tokens.join(q, "word")
+    whole = lines.select("doc_id", "seq", text.alias("text")).where("text <> ''")
+    tokens = whole.withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
+    met = tokens.join(q.where("word is not null"), "word").drop("word")
+    met = met.unionByName(whole.join(q.where("word is null").drop("word"), F.col("text").contains(F.col("needle"))))
     hits = met.withColumn("start", F.explode(occurrences(F.col("text"), F.col("needle"))))
     end = F.col("start") + F.length("needle")
     return hits.select("query_id", "doc_id", "seq", "start", end.alias("end"), snippet(F.col("text"), F.col("start"), end).alias("snippet"))

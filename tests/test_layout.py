@@ -134,6 +134,16 @@ def test_search(spark):
     assert [(r.seq, r.start, r.end) for r in hits.collect()] == [(0, 4, 14)]
 
 
+def test_phrases_are_found_beside_marks_and_letters(spark):
+    texts = lines(spark, "(first last)", "the secret, told", "\U0001f600SECRET", "\"longestword of all\"", "xlongestword of allx", "first, last", "longestword often all")
+    queries = spark.createDataFrame([(1, "first last"), (2, "secret"), (3, "longestword of all"), (4, "of")], "query_id int, query string")
+    plain = [r.text.lower() for r in texts.orderBy("seq").collect()]
+    want = {(q, k, t.index(n)) for q, n in ((1, "first last"), (2, "secret"), (3, "longestword of all"), (4, "of")) for k, t in enumerate(plain) if n in t}
+    got = search.find_lines(texts, queries).select("query_id", "seq", "start").collect()
+    low = min(r.seq for r in texts.collect())
+    assert len(got) == len(want) == 8 and {(r.query_id, r.seq - low, r.start) for r in got} == want
+
+
 def test_otsu(spark):
     h = spark.createDataFrame([("a", 10, 50), ("a", 12, 50), ("a", 200, 40), ("a", 210, 40)], "image_id string, level int, n long")
     assert recognition.otsu(h).first().threshold == 12
