@@ -198,8 +198,9 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     terms: dict[str, float] = {}
     for r in top.collect():
         name = r.term.rstrip("*")
-        # A stem that is taken already counts for what begins with it.
-        if not any(name[:k] + "*" in terms for k in range(1, len(name) + 1)) and not (r.term.endswith("*") and any(t.startswith(name) for t in terms)):
+        # A stem that is taken already counts for longer stems that begin with it. Words stay beside their stem: it finds
+        # them as they are, their own entry finds them misspelled. match() gives one term, so a word is one hit.
+        if not r.term.endswith("*") or not (any(name[:k] + "*" in terms for k in range(1, len(name) + 1)) or any(t.startswith(name) for t in terms)):
             terms[r.term] = float(r.odds)
     return terms
 

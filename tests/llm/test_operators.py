@@ -314,6 +314,16 @@ def test_toxicity(spark, empty):
     assert toxicity.score(docs, *none).agg(F.max("score")).first()[0] < 0.01 and toxicity.score(empty, *none).count() == 0
 
 
+def test_words_under_a_stem_are_found_misspelled(spark):
+    forms = "idiotic idiotism idiotes idiotize".split()
+    data = [(f"river stone garden {forms[i // 6 % 4] if i % 6 == 0 else 'paper'} window", int(i % 6 == 0)) for i in range(600)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(data, "text string, toxic int"))
+    trie = toxicity.Trie(terms)
+    assert "idio*" in terms and [t for t in terms if t.endswith("*")] == ["idio*"]
+    for w, want in (("idjotic", ("idiotic", 1)), ("ldiotism", ("idiotism", 1)), ("iidiotize", ("idiotize", 1)), ("idiotic", ("idio*", 0)), ("idiotically", ("idio*", 0))):
+        assert trie.maybe(w) and trie.match(w) == want
+
+
 def test_automaton_finds_one_edit():
     import itertools
     import string
