@@ -5,11 +5,12 @@ Base spans come from three patterns. The method adds spans for strings that look
 1. Candidates are runs of 20 or more letters, digits and +/_=- with a letter and a digit, apart from base spans and UUIDs.
 2. The encoding is inferred from the symbols: hex, base32, or base64 (with the URL alphabet); symbols become numbers.
 3. A battery tests each against uniform draws from that alphabet: chi-squared over eight equal bins, runs above and below
-   the middle, and serial correlation at lag 1. A candidate that any of them rejects (Bonferroni, at BATTERY) is dropped.
-4. Its p-value under ordinary text is bounded by the inverse likelihood ratio of uniform draws against a chain that tends
-   to stay in a class of symbols (P(ratio >= c) <= 1/c, so the bound is valid at every length).
-5. Benjamini and Hochberg's rule at FDR picks the accepted ones, by length class over all documents. Only the counts by
-   length class and p-value bin (a fixed number of bins) are gathered.
+   the middle, and serial correlation at lag 1. Their least p-value, times three, is the battery's.
+4. The null hypothesis that a discovery rejects is ordinary text, a chain that tends to stay in a class of symbols. The
+   p-value is 1 where the battery's is under BATTERY (the string is no uniform draw), else the inverse likelihood ratio of
+   uniform draws against the chain: P(ratio >= c) <= 1/c at every length, and a condition can only make that rarer.
+5. Benjamini and Hochberg's rule at FDR picks the accepted ones, by length class over all documents, so the rate holds for
+   what is returned. Only the counts by length class and p-value bin (a fixed number of bins) are gathered.
 
 Positions are code points, end exclusive. They come from the lengths of what lies between matches, summed in two levels,
 so that many matches in a long text stay cheap.
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import cut, fresh
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
@@ -94,33 +97,34 @@ def _where(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.array().cast(NONE))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with base_spans (the three kinds, by start and kind) and candidates (strings to test)."""
+def scan(docs: DataFrame, at: str = "_secret") -> DataFrame:
+    """docs with {at}_base (spans of the three kinds, by start and kind) and {at}_candidates (strings that were tested).
+    `at` must begin no name of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.lower(text)
     named = F.lit(False)
     for word in KEYWORDS:
         named = named | F.contains(lower, F.lit(word))
-    d = docs.withColumn("_secret_named", named)
+    d = docs.withColumn(f"{at}_named", named)
     base = F.concat(
-        _where(F.col("_secret_named"), spans(text, ASSIGN, 0, 2, 8)),
+        _where(F.col(f"{at}_named"), spans(text, ASSIGN, 0, 2, 8)),
         _where(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, 1, None, 16)),
         _where(text.rlike(HEX), spans(text, HEX, 2, None, 32)),
     )
-    d = d.withColumn("_base_spans", F.array_sort(base)).withColumn("_secret_maybe", _where(text.rlike(CANDIDATE), spans(text, CANDIDATE, 3)))
+    d = d.withColumn(f"{at}_base", F.array_sort(base)).withColumn(f"{at}_maybe", _where(text.rlike(CANDIDATE), spans(text, CANDIDATE, 3)))
     apart = let(
-        F.col("_base_spans"),
+        F.col(f"{at}_base"),
         lambda base: F.filter(
-            "_secret_maybe", lambda c: ~c["found"].rlike(UUID) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            f"{at}_maybe", lambda c: ~c["found"].rlike(UUID) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
         ),
     )
-    return d.withColumn("_candidates", F.transform(apart, tested)).drop("_secret_named", "_secret_maybe")
+    d = d.withColumn(f"{at}_candidates", F.transform(apart, tested)).drop(f"{at}_named", f"{at}_maybe")
+    place = lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))
+    return d.withColumn(f"{at}_base", F.transform(f"{at}_base", place))
 
 
 def _codes(symbols: Column, encoding: Column) -> Column:
     """Each symbol's number in its alphabet, scaled to 0..63."""
-    at = lambda c: F.locate(c, BASE64) - 1
-
     def code(c: Column) -> Column:
         plain = F.instr(F.lit(BASE64), F.translate(c, "-_", "+/")) - 1
         hexed = (F.instr(F.lit("0123456789abcdef"), F.lower(c)) - 1) * 4
@@ -137,7 +141,8 @@ def _two_sided(z: Column) -> Column:
 
 
 def tested(c: Column) -> Column:
-    """A candidate with its length class, whether the battery lets it pass as random, and its p-value bin."""
+    """A candidate with its length class and the bin of its p-value; the battery's p-values enter it as a condition: what
+    they reject as random has p = 1 (bin 0)."""
     body = F.regexp_replace(c["found"], "=+$", "")
     encoding = (
         F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
@@ -169,8 +174,9 @@ def tested(c: Column) -> Column:
         return F.struct(
             c["start"].alias("start"), c["end"].alias("end"),
             F.when(n >= LENGTHS[2], 2).when(n >= LENGTHS[1], 1).otherwise(0).alias("long"),
-            (F.coalesce(figures(codes), F.lit(0.0)) * 3 >= BATTERY).alias("random"),
-            F.greatest(F.lit(0), F.least(F.lit(MOST_BINS), F.floor(10 * ratio))).cast("int").alias("bin"),
+            F.when(
+                F.coalesce(figures(codes), F.lit(0.0)) * 3 >= BATTERY, F.greatest(F.lit(0), F.least(F.lit(MOST_BINS), F.floor(10 * ratio))).cast("int")
+            ).otherwise(0).alias("bin"),
         )
 
     symbols = F.split(body, "(?!^)")
@@ -183,11 +189,12 @@ def tested(c: Column) -> Column:
     return let(let(F.struct(symbols.alias("s"), encoding.alias("e")), lambda x: prepared(x["s"], x["e"])), battery)
 
 
-def accepted_from(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """For each length class the least bin that the false-discovery rule accepts; classes without one are left out."""
-    tests = scan(docs).select(F.explode("_candidates").alias("c"))
+def accepted_from(scanned: DataFrame, fdr: float = FDR, at: str = "_secret") -> dict[int, int]:
+    """For each length class the least bin that the false-discovery rule accepts; classes without one are left out. Every
+    candidate is a test; one that the battery rejects has p = 1 and can be no discovery."""
+    tests = scanned.select(F.explode(f"{at}_candidates").alias("c"))
     counts: dict[int, dict[int, int]] = {}
-    for r in tests.groupBy("c.long", "c.bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.random").cast("long")).alias("random")).collect():
+    for r in tests.groupBy("c.long", "c.bin").agg(F.count(F.lit(1)).alias("n")).collect():
         counts.setdefault(r.long, {})[r.bin] = r.n
     limits = {}
     for length, by_bin in counts.items():
@@ -201,13 +208,12 @@ def accepted_from(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return limits
 
 
-def with_spans(docs: DataFrame, limits: dict[int, int]) -> DataFrame:
-    """docs with base_spans and spans (base and accepted random ones, by start and kind)."""
+def with_spans(scanned: DataFrame, limits: dict[int, int], at: str = "_secret") -> DataFrame:
+    """A scan with {at}_all (base and accepted random spans, by start and kind) instead of the candidates."""
     least = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map(F.lit(-1), F.lit(0))
-    chosen = F.filter("_candidates", lambda c: c["random"] & (c["bin"] >= F.try_element_at(least, c["long"])))
+    chosen = F.filter(f"{at}_candidates", lambda c: c["bin"] >= F.try_element_at(least, c["long"]))
     added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    base = F.transform("_base_spans", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    return scan(docs).withColumn("_base_spans", base).withColumn("_spans", F.array_sort(F.concat("_base_spans", added))).drop("_candidates")
+    return scanned.withColumn(f"{at}_all", F.array_sort(F.concat(f"{at}_base", added))).drop(f"{at}_candidates")
 
 
 def _listed(spans: str) -> Column:
@@ -216,19 +222,22 @@ def _listed(spans: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of each kind, base_sha256 and spans for each row of docs(doc_id, text)."""
-    slim = docs.select("doc_id", "text")
-    found = with_spans(slim, accepted_from(slim))
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    """doc_id, counts of each kind, base_sha256 and spans for each row of docs(doc_id, text). Texts are scanned once; what
+    was found in them is written, counted by bin and then listed."""
+    scanned = cut(scan(docs.select("doc_id", "text")).drop("text"))
+    found = with_spans(scanned, accepted_from(scanned))
+    count = lambda k: F.size(F.filter("_secret_all", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
-        F.sha2(_listed("_base_spans"), 256).alias("base_sha256"), _listed("_spans").alias("spans"),
+        F.sha2(_listed("_secret_base"), 256).alias("base_sha256"), _listed("_secret_all").alias("spans"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The same rows with every span replaced by a mark; overlapping spans are replaced as one."""
-    found = with_spans(docs, accepted_from(docs.select("doc_id", "text")))
+    at = fresh(docs, "_secret")
+    scanned = cut(scan(docs, at))
+    found = with_spans(scanned, accepted_from(scanned, at=at), at)
 
     def merged(s: Column) -> Column:
         """Spans joined where they overlap: a fold over the spans in order that keeps the last one open."""
@@ -247,7 +256,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.array_join(F.transform(m, lambda x, k: F.concat(F.substring(text, F.coalesce(F.get(m, k - 1)["end"], F.lit(0)).cast("int") + 1, (x["start"] - F.coalesce(F.get(m, k - 1)["end"], F.lit(0))).cast("int")), F.lit(mark))), ""),
         F.substring(text, F.element_at(m, -1)["end"].cast("int") + 1, F.length(text)),
     )
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, let(let(F.col("_spans"), merged), parts)).otherwise(text))
+    out = found.withColumn("text", F.when(F.size(f"{at}_all") > 0, let(let(F.col(f"{at}_all"), merged), parts)).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
