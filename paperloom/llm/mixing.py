@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import WORD, cut
+from paperloom.llm.common import SPACES, WORD, cut, fresh
 
 #: Words by document over which keys spread: about so many documents fall in one range.
 DOCS_A_RANGE = 128
@@ -26,24 +26,46 @@ MOST_RANGES = 1 << 16
 
 
 def quality(text: Column) -> Column:
-    """A weight between 0.1 and 1.1 that falls with the share of symbols in a text."""
-    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>{}\[\]\\^~!]+", ""))
-    return F.lit(1.1) - F.coalesce(symbols / F.greatest(F.length(text), F.lit(1)), F.lit(0.0))
+    """A document's quality weight, 0.1 to 1.1: the share of letters among what isn't white space, times the share of
+    distinct lines, times a share that is whole where every line ends as a sentence does."""
+    plain = F.regexp_replace(text, rf"{SPACES}+", "")
+    letters = (F.length(plain) - F.length(F.regexp_replace(plain, r"\p{L}+", ""))) / F.greatest(F.length(plain), F.lit(1))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+
+    def weight(found: Column) -> Column:
+        n = F.greatest(F.size(found), F.lit(1))
+        ended = F.size(F.filter(found, lambda x: x.rlike(r"[.!?…:\"”»)]\s*$"))) / n
+        return (F.size(F.array_distinct(found)) / n) * (0.5 + 0.5 * ended)
+
+    return F.lit(0.1) + letters * F.transform(F.array(lines), weight)[0]  # the lines are split once
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with `place`, from 0 in order of source (null last). Ranges of sources are sorted each on their own; what
+    comes before a range is summed over the ranges, whose number doesn't grow with the sources."""
+    names = (F.col("source").isNull(), F.col("source"))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = sources.repartitionByRange(parts, *names).sortWithinPartitions(*names)
+    placed = cut(placed.withColumn("row", F.monotonically_increasing_id()))  # written, so that ranges stay as they were
+    part = F.shiftright("row", 33)
+    before = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    joined = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    return joined.withColumn("place", F.col("before") + F.col("row").bitwiseAND((1 << 33) - 1)).drop("part", "row", "before")
 
 
 def targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """source, source_size -> the same with weight and target. One row for each source; sources are told apart as in
     groupBy. Each round of sharing is an aggregate over the table of sources; nothing but its sums comes to the driver."""
-    names = F.struct(F.col("source").isNull().alias("missing"), F.col("source").alias("name"))
-    ranked = sizes.withColumn("place", F.row_number().over(Window.orderBy(names)) - 1)
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
-    ranked = cut(ranked.withColumn("source_size", F.col("source_size").cast("long")))
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    rows = ranked(sizes)
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
+    rows = cut(rows.withColumn("source_size", F.col("source_size").cast("long")))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
     left, parts = total, None
     while True:
         # A source is capped if its share at the present level is above its cap; a level only rises, so caps stay.
         capped = F.lit(False) if parts is None else F.col("weight") * F.lit(left) >= F.col("source_size") * F.lit(cap) * F.lit(parts)
-        held, free = ranked.agg(
+        held, free = rows.agg(
             F.sum(F.when(capped, F.col("source_size") * cap)), F.sum(F.when(~capped, F.col("weight").cast("long")))
         ).first()
         now = (total - (held or 0), free or 0)
@@ -51,7 +73,7 @@ def targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)
             break
         left, parts = now
     level = left / parts if parts else 0.0
-    return ranked.withColumn("target", F.least(F.col("weight") * F.lit(level), F.col("source_size") * F.lit(float(cap))).cast("double"))
+    return rows.withColumn("target", F.least(F.col("weight") * F.lit(level), F.col("source_size") * F.lit(float(cap))).cast("double"))
 
 
 def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 8) -> DataFrame:
@@ -86,11 +108,21 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), see
     )
 
 
+TAKEN = ("mix_words", "mix_epochs", "mix_taken")
+
+
 def taken_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which the mixture takes words, with size, epochs and taken. Rows that share doc_id, source and
-    size are told apart by nothing here and get the largest of their numbers each."""
-    mixed = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("epochs"), F.max("taken").alias("taken"))
-    sized = docs.withColumn("mix_size", F.regexp_count("text", F.lit(WORD)).cast("long"))
-    d, m = sized.alias("d"), mixed.alias("m")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.mix_size") == F.col("m.size"))
-    return d.join(m, same).select(*[F.col(f"d.{c}") for c in docs.columns], F.col("m.size").alias("mix_words"), F.col("m.epochs").alias("mix_epochs"), F.col("m.taken").alias("mix_taken"))
+    """The rows of docs of which the mixture takes words, with mix_words (size), mix_epochs and mix_taken; columns of docs
+    with these names are replaced. Rows that share doc_id, source and size get one number each, larger ones first in order
+    of a hash of the text."""
+    at = fresh(docs, "_mix")
+    key = [f"{at}_id", f"{at}_source", f"{at}_size"]
+    mixed = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), "epochs", "taken")
+    docs = docs.drop(*TAKEN)
+    d = docs.withColumn(f"{at}_words", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)))
+    same = F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("source").eqNullSafe(F.col(key[1])) & (F.col(f"{at}_words") == F.col(key[2]))
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        d = d.withColumn(f"{at}_row", F.row_number().over(Window.partitionBy("doc_id", "source", f"{at}_words").orderBy(F.xxhash64("text"))))
+        mixed = mixed.withColumn(f"{at}_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("taken"))))
+        same = same & (F.col(f"{at}_row") == F.col(f"{at}_nth"))
+    return d.join(mixed, same).select(*[F.col(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip((key[2], "epochs", "taken"), TAKEN)])
