@@ -2,8 +2,8 @@ r"""Token counts (operator 10).
 
 A text's tokens are those of its pieces between ASCII white space: the tokenizer's normalizers turn white space into
 single spaces and its pre-tokenizer drops them, so no token, special string or composed character spans two pieces.
-Counting is one map over the documents, without a shuffle: each task looks the distinct pieces of a batch up in a
-broadcast table of frequent pieces (at most `table_size` entries), then in a cache of its worker (at most `cache_size`
+Counting is one map over the documents, without a shuffle of pieces before or after it: each task looks the distinct pieces of a batch up in a
+broadcast table of frequent pieces (at most `table_size` entries in flat arrays), then in a cache of its worker (at most `cache_size`
 entries), and has the library encode only the rest. Which pieces are in the table or the cache never changes a count.
 
 Nulls and empty texts have 0 bytes and 0 tokens. Any text that Spark can hold is counted whole. Rows that repeat are
@@ -12,6 +12,7 @@ counted each; extra columns are dropped.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import pieces, sampled
 
-#: Documents from which the frequent pieces are taken, and pieces kept: both bound the broadcast (about 2 MB).
+#: Documents from which the frequent pieces are taken, pieces that a task sends, and pieces kept: they bound what reaches
+#: the driver (each sampled document's task at most) and the broadcast (about 1 MB).
 SAMPLE_DOCS = 4000
+TASK_SIZE = 1 << 11
 TABLE_SIZE = 1 << 16
 CACHE_SIZE = 1 << 19
 BATCH_BYTES = 16 << 20
+#: Texts whose counts show whether a tokenizer drops white space.
+PROBES = ("ab  cd", "ab\n\ncd", " ab \t cd ", "don't  stop")
 OUT = "doc_id long, n_bytes long, n_tokens long"
 
 _loaded: dict = {}
@@ -58,23 +63,46 @@ def _split(column) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def frequent(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> list[str]:
-    """The commonest pieces of a bounded sample; each task sums its own batches before anything is sent on."""
+def frequent(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE, task_size: int = TASK_SIZE) -> list[str]:
+    """The commonest pieces of a bounded sample. Each task counts its own and sends its `task_size` commonest; the driver
+    adds up these short lists, so no piece is shuffled."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
         for batch in pieces(batches, BATCH_BYTES):
             counts = pc.value_counts(_split(batch.column(0))[0])
-            yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1).cast(pa.int64())], names=["piece", "n"])
+            total.update(dict(zip(counts.field(0).to_pylist(), counts.field(1).to_pylist())))
+            if len(total) > 32 * task_size:
+                total = Counter(dict(total.most_common(16 * task_size)))
+        top = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:task_size]
+        if top:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    counted = sampled(docs.select("doc_id", "text"), sample_docs, "pieces").select("text").mapInArrow(local, "piece string, n long")
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size)
-    return [r.piece for r in top.collect()]
+    lists = sampled(docs.select("doc_id", "text"), sample_docs, "pieces").select("text").mapInArrow(local, "piece string, n long").toArrow()
+    added = lists.group_by("piece").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("piece", "ascending")])
+    return added.slice(0, table_size).column("piece").to_pylist()
+
+
+class Table:
+    """Frequent pieces with their numbers of tokens, as two flat arrays; Arrow looks a whole batch up by hash."""
+
+    def __init__(self, words: list[str], counts: list[int]):
+        self.words = pa.array(words, pa.string())
+        self.counts = np.array([*counts, -1], np.int64)
+
+    def get(self, names: pa.Array) -> np.ndarray:
+        """The numbers for an array of pieces; -1 where one isn't held."""
+        return self.counts[pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy(zero_copy_only=False)]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, table_size: int = TABLE_SIZE, cache_size: int = CACHE_SIZE) -> DataFrame:
-    """doc_id, n_bytes, n_tokens for each row of docs(doc_id, text). tokenizer: path of the library's JSON file."""
+    """doc_id, n_bytes, n_tokens for each row of docs(doc_id, text). tokenizer: path of the library's JSON file; one that
+    keeps white space is refused."""
+    for probe in PROBES:
+        if sum(_encode(_library(tokenizer)[0], [probe])) != sum(_encode(_library(tokenizer)[0], probe.split())):
+            raise ValueError("this tokenizer doesn't drop white space, so its counts don't add up over pieces")
     words = frequent(docs, table_size=table_size)
-    table = docs.sparkSession.sparkContext.broadcast(dict(zip(words, _encode(_library(tokenizer)[0], words))))
+    table = docs.sparkSession.sparkContext.broadcast(Table(words, _encode(_library(tokenizer)[0], words)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, cache = _library(tokenizer)
@@ -85,12 +113,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, table_size: int = TABLE_SIZE,
             if isinstance(flat, pa.ChunkedArray):
                 flat = flat.combine_chunks()
             coded = flat.dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            lengths = [known.get(w, -1) for w in names]
-            unseen = [k for k, n in enumerate(lengths) if n < 0]
+            lengths = known.get(coded.dictionary)
+            unseen = np.flatnonzero(lengths < 0)
+            names = dict(zip(unseen.tolist(), coded.dictionary.take(pa.array(unseen)).to_pylist()))
             misses = []
-            for k in unseen:
-                n = cache.get(names[k])
+            for k, name in names.items():
+                n = cache.get(name)
                 if n is None:
                     misses.append(k)
                 else:
@@ -103,7 +131,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, table_size: int = TABLE_SIZE,
                     lengths[k] = n
                     if len(cache) < cache_size:
                         cache[w] = n
-            each = np.asarray(lengths, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+            each = lengths[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
             sums = np.concatenate(([0], np.cumsum(each)))
             ends = np.cumsum(per_doc)
             tokens = sums[ends] - sums[ends - per_doc]
