@@ -5,7 +5,8 @@ in alternation. Each turn is kept, relabelled, merged into the message before it
 message; dynamic programming finds the cheapest way, and the repaired sequence is rendered.
 
 A turn's choices are a matrix of costs from state to state, and matrices of neighbouring stretches combine (least sum), so
-a conversation of any length is cut into stretches of SPAN turn numbers: stretches are solved in parallel for every state
+a conversation of any length is cut into stretches of SPAN turn numbers, and further where many rows share a number or have
+none: stretches are solved in parallel for every state
 they may begin in, a short pass over the stretches fixes the states between them, and each stretch is then rendered on its
 own. A conversation within one stretch needs a single pass.
 
@@ -14,7 +15,7 @@ gives the conversation's text.
 
 Nulls: a null role counts as none of the legal ones and is relabelled; a null text is an empty one; turns without a number
 come first; a null conv_id is one conversation. Rows that repeat (conversation, number, role and text) count once; other
-rows with the same number stand in order of role and text. Unknown roles are relabelled, known aliases are free. Extra
+rows with the same number stand in order of role and text, within slots by hash where more than SPAN rows share it. Unknown roles are relabelled, known aliases are free. Extra
 columns are dropped.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import cut
 
 SPAN = 256
+#: What tells the stretches of a conversation apart and orders them.
+STRETCH = ("part", "step", "slot")
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 NAMES = ("", "system", "user", "assistant")
@@ -138,12 +141,12 @@ def _stretch(table: pa.Table) -> pa.Table:
     roles = ordered.column("role").to_pylist()
     roles = [r for r, t in zip(roles, turn) if t is None] + [r for r, t in zip(roles, turn) if t is not None]
     matrix = [c for begin in range(4) for c in _forward(roles, begin)[0]]
-    return pa.table({"conv_id": table.column("conv_id")[:1], "part": table.column("part")[:1], "n": pa.array([len(roles)], pa.int64()), "matrix": pa.array([matrix], pa.list_(pa.float64()))})
+    return pa.table({"conv_id": table.column("conv_id")[:1], **{c: table.column(c)[:1] for c in STRETCH}, "n": pa.array([len(roles)], pa.int64()), "matrix": pa.array([matrix], pa.list_(pa.float64()))})
 
 
 def _chained(table: pa.Table) -> pa.Table:
     """The states between the stretches of a conversation."""
-    table = table.sort_by("part")
+    table = table.sort_by([(c, "ascending") for c in STRETCH])
     matrices = [np.array(m).reshape(4, 4) for m in table.column("matrix").to_pylist()]
     costs = [np.array([0.0, _INF, _INF, _INF])]
     for m in matrices:
@@ -156,7 +159,7 @@ def _chained(table: pa.Table) -> pa.Table:
     ends = ends[::-1]
     n = np.array(table.column("n").to_pylist(), np.int64)
     return pa.table({
-        "conv_id": table.column("conv_id"), "part": table.column("part"), "begin": pa.array(ends[:-1], pa.int32()), "end": pa.array(ends[1:], pa.int32()),
+        "conv_id": table.column("conv_id"), **{c: table.column(c) for c in STRETCH}, "begin": pa.array(ends[:-1], pa.int32()), "end": pa.array(ends[1:], pa.int32()),
         "last": pa.array([k == len(n) - 1 for k in range(len(n))]), "first_place": pa.array(np.cumsum(n) - n),
     })
 
@@ -166,18 +169,39 @@ def _placed(table: pa.Table) -> pa.Table:
     return _told(table, one["begin"], one["end"], one["last"], one["first_place"])
 
 
+def _stretches(turns: DataFrame, span: int) -> DataFrame:
+    """turns with the three numbers that order their stretches: `part`, turn numbers by the `span` (those without a number
+    first); `step`, the turn itself in parts where some number has more than `span` rows; `slot`, by hash, within such a
+    number. So no stretch grows with a conversation, nor with rows that share a number or have none."""
+    number = F.coalesce(F.col("turn"), F.lit(-(1 << 62)))
+    turns = turns.withColumn("part", F.floor(number / span).cast("long"))
+    zero = F.lit(0).cast("long")
+    crowds = cut(turns.groupBy("conv_id", "part", "turn").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > span))
+    if crowds.isEmpty():
+        return turns.withColumns({"step": zero, "slot": zero})
+    crowded = crowds.select(F.col("conv_id").alias("c"), F.col("part").alias("p")).distinct().withColumn("crowded", F.lit(True))
+    slots = crowds.select(F.col("conv_id").alias("k"), F.col("turn").alias("t"), F.ceil(2 * F.col("n") / span).alias("slots"))
+    d = turns.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    d = d.join(slots, F.col("conv_id").eqNullSafe(F.col("k")) & F.col("turn").eqNullSafe(F.col("t")), "left")
+    slot = F.coalesce(F.pmod(F.xxhash64("role", "text"), F.col("slots")), zero)
+    return d.select("conv_id", "turn", "role", "text", "part", F.when(F.col("crowded"), number).otherwise(zero).alias("step"), slot.alias("slot"))
+
+
 def repair(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     """One row for each distinct turn of conversations(conv_id, turn, role, text)."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    turns = turns.withColumn("part", F.coalesce(F.floor(F.col("turn") / span), F.lit(-(1 << 62))).cast("long"))
-    long = cut(turns.where("part != 0").select("conv_id").distinct())
+    turns = _stretches(turns, span)
+    long = cut(turns.where("part != 0 or step != 0 or slot != 0").select("conv_id").distinct())
     same = F.col("t.conv_id").eqNullSafe(F.col("l.conv_id"))
     short = turns.alias("t").join(long.alias("l"), same, "left_anti").groupBy("conv_id").applyInArrow(lambda t: _told(t), OUT)
     if long.isEmpty():
         return short
     parts = turns.alias("t").join(long.alias("l"), same, "left_semi")
-    matrices = parts.groupBy("conv_id", "part").applyInArrow(_stretch, "conv_id long, part long, n long, matrix array<double>")
-    chain = matrices.groupBy("conv_id").applyInArrow(_chained, "conv_id long, part long, begin int, end int, last boolean, first_place long")
-    joined = parts.alias("p").join(chain.alias("c"), F.col("p.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("p.part") == F.col("c.part")))
-    joined = joined.select("p.conv_id", "p.turn", "p.role", "p.text", "p.part", "begin", "end", "last", "first_place")
-    return short.union(joined.groupBy("conv_id", "part").applyInArrow(_placed, OUT))
+    matrices = parts.groupBy("conv_id", *STRETCH).applyInArrow(_stretch, "conv_id long, part long, step long, slot long, n long, matrix array<double>")
+    chain = matrices.groupBy("conv_id").applyInArrow(_chained, "conv_id long, part long, step long, slot long, begin int, end int, last boolean, first_place long")
+    met = F.col("p.conv_id").eqNullSafe(F.col("c.conv_id"))
+    for name in STRETCH:
+        met = met & (F.col(f"p.{name}") == F.col(f"c.{name}"))
+    joined = parts.alias("p").join(chain.alias("c"), met)
+    joined = joined.select("p.conv_id", "p.turn", "p.role", "p.text", *[f"p.{name}" for name in STRETCH], "begin", "end", "last", "first_place")
+    return short.union(joined.groupBy("conv_id", *STRETCH).applyInArrow(_placed, OUT))
