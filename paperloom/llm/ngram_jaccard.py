@@ -37,9 +37,11 @@ PERCENT = 80
 BATCH_BYTES = 4 << 20
 #: Text for which one bucket of hashes is made.
 BUCKET_BYTES = 8 << 20
-LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
-#: Classes in a block of the product.
-BLOCK = 1024
+LEAST_BUCKETS, MOST_BUCKETS, MOST_PARTITIONS = 16, 1 << 18, 20_000
+#: Weight of a block of the product: a class weighs 1, and 1 more for every UNIT shingles of its set.
+BLOCK, UNIT = 1024, 1024
+#: Shingles of all classes for which one shard of prefix entries is made (a fifth of them at most are in prefixes).
+SHARD_SHINGLES = 1 << 21
 #: Shingles held by more classes of a block than this are multiplied densely.
 DENSE = 48
 
@@ -144,7 +146,7 @@ def _packed(buckets: int):
                 data, begins = utf8(rows.column(1))
                 h, owner = sets(data, begins)
                 # The bucket is the leading part of the hash; within it, LOW bits are kept.
-                bucket = ((h >> _U(48)) * _U(buckets)) >> _U(16)
+                bucket = ((h >> _U(40)) * _U(buckets)) >> _U(24)
                 key = (bucket << _U(LOW)) | ((h >> _U(8)) & _U((1 << LOW) - 1))
                 n = np.bincount(owner, minlength=rows.num_rows)[: rows.num_rows].astype(np.int64)
                 sums = [_digest(mixed(h ^ _U(salt)), owner, rows.num_rows) for salt in (0, 0x5851F42D4C957F2D)]
@@ -240,42 +242,42 @@ def document_sets(docs: DataFrame) -> DataFrame:
     nbytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, nbytes // BUCKET_BYTES))
     packed = slim.mapInArrow(_packed(buckets), PACKED)
-    answered = packed.groupBy("bucket").applyInArrow(_counted, PACKED)
-    return answered.groupBy("batch").applyInArrow(_assembled, SETS)
+    # As many partitions as buckets: what a task reads doesn't grow with the input.
+    parts = min(buckets, MOST_PARTITIONS)
+    answered = packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_counted, PACKED)
+    return answered.repartition(parts, "batch").groupBy("batch").applyInArrow(_assembled, SETS)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(shards: int):
     """Packed (key, class) entries of the prefixes, with a batch's own repeats joined: edges to the batch's least class,
     and one entry for each key."""
-    for batch in batches:
-        keys, owners = [], []
-        for cls, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            k = np.frombuffer(blob, _U)
-            prefix = n - -(-PERCENT * n // 100) + 1 - (n - len(k))
-            keys.append(k[:prefix])
-            owners.append(np.full(len(k[:prefix]), cls, np.int64))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        fresh = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        hub = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(key) else owner
-        pair = np.unique(np.stack((hub[~fresh], owner[~fresh])), axis=1) if (~fresh).any() else np.zeros((2, 0), np.int64)
-        key, owner = key[fresh], owner[fresh]
-        shard = (mixed(key) >> _U(48)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        key, owner, shard = key[order], owner[order], shard[order]
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([pair[0].tobytes()], pa.binary()), pa.array([pair[1].tobytes()], pa.binary())], names=["shard", "left", "right"])
-        shard %= SHARDS
-        order = np.argsort(shard, kind="stable")
-        key, owner, shard = key[order], owner[order], shard[order]
-        cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(key))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(shard[cuts]), pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        ], names=["shard", "left", "right"])
-
-
-SHARDS = 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, owners = [], []
+            for cls, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                k = np.frombuffer(blob, _U)
+                prefix = n - -(-PERCENT * n // 100) + 1 - (n - len(k))
+                keys.append(k[:prefix])
+                owners.append(np.full(len(k[:prefix]), cls, np.int64))
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            fresh = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+            hub = owner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(key) else owner
+            pair = np.unique(np.stack((hub[~fresh], owner[~fresh])), axis=1) if (~fresh).any() else np.zeros((2, 0), np.int64)
+            key, owner = key[fresh], owner[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([pair[0].tobytes()], pa.binary()), pa.array([pair[1].tobytes()], pa.binary())], names=["shard", "left", "right"])
+            shard = (mixed(key) % _U(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            key, owner, shard = key[order], owner[order], shard[order]
+            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(cuts[1:], len(key))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(shard[cuts]), pa.array([key[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            ], names=["shard", "left", "right"])
+
+    return run
 
 
 def _stars(table: pa.Table) -> pa.Table:
@@ -342,7 +344,7 @@ def _product(table: pa.Table) -> pa.Table:
     both = overlaps(keys)
     linked = 100 * both.astype(np.int64) >= PERCENT * (n[:, None] + n[None, :] - both)
     np.fill_diagonal(linked, False)
-    if side.min() != side.max():
+    if table.column("low")[0] != table.column("high")[0]:
         linked &= side[:, None] != side[None, :]  # pairs within a block are counted where it meets itself
     links = (linked * copies[None, :]).sum(axis=1)
     label = np.arange(len(cls))
@@ -362,14 +364,18 @@ def join(docs: DataFrame) -> DataFrame:
     alive = found.where(F.col("keys").isNotNull())
     classes = alive.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
-    packed = cut(classes.select("cls", "n", "keys").mapInArrow(_prefixes, "shard long, left binary, right binary"))
-    stars = packed.where("shard >= 0").groupBy("shard").applyInArrow(_stars, "a long, b long")
+    weight = F.lit(1) + F.floor(F.col("n") / UNIT)
+    total, shingled = classes.agg(F.sum(weight), F.sum("n")).first()
+    shards = max(LEAST_BUCKETS, (shingled or 0) // SHARD_SHINGLES)
+    packed = cut(classes.select("cls", "n", "keys").mapInArrow(_prefixes(shards), "shard long, left binary, right binary"))
+    stars = packed.where("shard >= 0").repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard").applyInArrow(_stars, "a long, b long")
     own = packed.where("shard < 0").select("left", "right").mapInArrow(_unpacked, "a long, b long")
     candidate = components(stars.union(own))
-    sizes = candidate.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    weighed = candidate.join(classes.select(F.col("cls").alias("node"), weight.alias("weight")), "node")
+    sizes = weighed.groupBy("component").agg(F.sum("weight").alias("size"))
     nodes = candidate.join(sizes, "component")
     whole = F.col("size") <= BLOCK
-    bins = F.lit(max(1, classes.count() // BLOCK))
+    bins = F.lit(max(1, (total or 0) // BLOCK))
     nodes = nodes.select(
         F.col("node").alias("cls"), F.when(whole, -1 - F.pmod(F.xxhash64("component"), bins)).otherwise(F.col("component")).alias("part"),
         F.when(whole, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int").alias("blocks"),
