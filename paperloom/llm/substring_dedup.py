@@ -11,7 +11,7 @@ The construction is blockwise, one bucket of suffixes at a time, with ties resol
 3. The suffixes of contested samples are taken from the texts and sorted by their first 100 bytes, again in buckets.
 4. The removed starts meet their texts and the bytes go.
 
-An arithmetic cover would need 9 ranks for every suffix to be sent along (period 64); the sample by content has the same
+An arithmetic cover of period 73 has 9 residues, and up to 9 ranks go with every suffix that is sent; the sample by content has the same
 property (equal 100-byte strings have a sample at the same place), with one rank for a run of about 30 suffixes. The README
 has figures. Orders are by hash, not by byte value: only equality and the first place matter here.
 
@@ -40,7 +40,7 @@ from paperloom.llm.hashing import Substrings, mixed
 BATCH_BYTES = 2 << 20
 #: Text for which one bucket of samples, of suffixes and of documents is made.
 BUCKET_BYTES = 12 << 20
-LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
+LEAST_BUCKETS, MOST_BUCKETS, MOST_PARTITIONS = 16, 1 << 18, 20_000
 _U = np.uint64
 
 #: What is sent of a sample, of a removed run of starts, of a contested run, and of a suffix.
@@ -302,9 +302,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 def _dedup(docs: DataFrame) -> DataFrame:
     nbytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, nbytes // BUCKET_BYTES))
-    ranked = cut(docs.mapInArrow(_samples(buckets), ROW).groupBy("bucket").applyInArrow(_ranked(buckets), ROW))
+    # As many partitions as buckets: what a task reads doesn't grow with the input.
+    dealt = lambda rows: rows.repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket")
+    ranked = cut(dealt(docs.mapInArrow(_samples(buckets), ROW)).applyInArrow(_ranked(buckets), ROW))
     texts = docs.mapInArrow(_texts(buckets), TEXTS)
-    contested = ranked.where("kind = 'contested'").groupBy("bucket")
-    suffixes = texts.groupBy("bucket").cogroup(contested).applyInArrow(_suffixes(buckets), ROW)
-    gone = ranked.where("kind = 'gone'").union(suffixes.groupBy("bucket").applyInArrow(_sorted(buckets), ROW))
-    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(_kept, KEPT)
+    suffixes = dealt(texts).cogroup(dealt(ranked.where("kind = 'contested'"))).applyInArrow(_suffixes(buckets), ROW)
+    gone = ranked.where("kind = 'gone'").union(dealt(suffixes).applyInArrow(_sorted(buckets), ROW))
+    return dealt(texts).cogroup(dealt(gone)).applyInArrow(_kept, KEPT)
