@@ -2,9 +2,10 @@
 
 A lexicon is learned from labelled rows: words, and stems that longer words begin with, that toxic documents hold far more
 often than others (likelihood-ratio test). Every distinct word of a batch that shares half a term goes through a
-Levenshtein automaton walked together with the lexicon's trie, so that misspelled terms count too. Each hit is judged in a
+Levenshtein automaton walked together with the lexicon's trie, so that misspelled terms count too; ordinary words an edit
+away from a term, found in clean labelled texts, are no misspellings. Each hit is judged in a
 window of words: quotation marks and words of reporting speak for quotation, second persons and further hits for abuse.
-A logistic regression over the counts gives the score.
+Quoted hits are counted apart and add nothing to the term weights; what they tell is left to the regression. A logistic regression over the counts gives the score.
 
 Learned from at most about TRAIN_DOCS labelled rows, chosen by a hash of the id, never from held-out ones. What comes to
 the driver is the lexicon (MOST_TERMS at most) and one short row of counts for each of those rows. Scoring is one map.
@@ -52,8 +53,9 @@ class Trie:
     """A lexicon as a trie; a term ends at a word's end, a stem wherever a longer word passes it."""
 
     def __init__(self, terms: dict[str, float]):
-        """terms: weight by term; a stem ends in *."""
-        self.terms = terms
+        """terms: weight by term; a stem ends in *. A word of weight 0 is an ordinary one: it is no misspelled term."""
+        self.ordinary = {t for t, w in terms.items() if not w}
+        self.terms = terms = {t: w for t, w in terms.items() if w}
         self.root: dict = {}
         for term in terms:
             node = self.root
@@ -77,6 +79,8 @@ class Trie:
         """Whether a word can match: one within an edit of a term holds the term's first half at its start or its second
         half at its end."""
         n = len(word)
+        if word in self.ordinary:
+            return False
         if word in self.exact or any(n > k and word[:k] in s for k, s in self.stems.items()):
             return True
         heads = self.heads.get(n)
@@ -115,8 +119,18 @@ class Trie:
 FEATURES = ("weight", "rate", "distinct", "misspelled", "quoted", "abusive", "stems")
 
 
+def is_quoted(around: list[str], k: int, hits: int) -> bool:
+    """Whether the word at k of its window is quoted rather than meant. For quotation speak marks that open before it and
+    close after it (2) and words of reporting (1); for abuse words of address (1) and further hits in the window (1)."""
+    opened = any(w[:1] and w[0] in OPENING for w in around[: k + 1])
+    closed = any(w.rstrip(".,;:!?")[-1:] and w.rstrip(".,;:!?")[-1] in CLOSING for w in around[k:])
+    bare = [w.strip(MARKS) for w in around]
+    quotation = 2 * (opened and closed) + any(w in REPORTING for w in bare)
+    return quotation > any(w in ADDRESS for w in bare) + (hits > 1)
+
+
 def features(column: pa.Array, trie: Trie, cache: dict) -> np.ndarray:
-    """One row of counts for each text of an Arrow column."""
+    """One row of counts for each text of an Arrow column. A quoted hit counts as such and for nothing else."""
     n = len(column)
     lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(column, "")))
     if isinstance(lists, pa.ChunkedArray):
@@ -149,27 +163,26 @@ def features(column: pa.Array, trie: Trie, cache: dict) -> np.ndarray:
         begin, end = max(int(ends[d] - many[d]), at - WINDOW), min(int(ends[d]), at + WINDOW + 1)
         around = flat.slice(begin, end - begin).to_pylist()
         k = at - begin
-        opened = any(w[:1] and w[0] in OPENING for w in around[: k + 1])
-        closed = any(w[-1:] and w.rstrip(".,;:!?")[-1:] and w.rstrip(".,;:!?")[-1] in CLOSING for w in around[k:])
-        quoted = (opened and closed) or any(w.strip(MARKS) in REPORTING for w in around)
-        abusive = any(w.strip(MARKS) in ADDRESS for w in around) or int(is_hit[codes[begin:end]].sum()) > 1
+        many_hits = int(is_hit[codes[begin:end]].sum())
         row = out[d]
-        row[0] += trie.terms[term] * (0.5 if quoted else 1.0)
+        if is_quoted(around, k, many_hits):
+            row[4] += 1
+            continue
+        row[0] += trie.terms[term]
+        row[1] += 1
         row[3] += distance
-        row[4] += quoted
-        row[5] += abusive
+        row[5] += any(w.strip(MARKS) in ADDRESS for w in around) or many_hits > 1
         row[6] += term.endswith("*")
         seen.setdefault(d, set()).add(term)
     for d, terms in seen.items():
         out[d, 2] = len(terms)
-    out[:, 1] = 100 * np.bincount(doc, minlength=n)[:n] / np.maximum(many, 1)
-    for k in (0, 1, 2, 3, 4, 5, 6):
-        out[:, k] = np.log1p(out[:, k])
-    return out
+    out[:, 1] *= 100 / np.maximum(many, 1)
+    return np.log1p(out)
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms with their log odds, from rows(text, toxic)."""
+def learn_lexicon(rows: DataFrame, most_terms: int = MOST_TERMS, least_odds: float = LEAST_ODDS) -> dict[str, float]:
+    """Terms with their log odds, from rows(text, toxic): the `most_terms` that tell most. They come from a bounded sample,
+    whose words bound them anyway. Ordinary words that a term's misspellings would take in have 0."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -194,7 +207,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     odds = F.log(((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1)))
     # A word goes before a stem that says little more: words are also found with an edit.
     rank = F.col("g") * F.when(F.col("term").endswith("*"), 1.0).otherwise(1.15)
-    top = counted.where(a >= LEAST_DOCS).select("term", g.alias("g"), odds.alias("odds")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS)).orderBy(rank.desc(), "term").limit(MOST_TERMS)
+    top = counted.where(a >= LEAST_DOCS).select("term", g.alias("g"), odds.alias("odds")).where((F.col("g") >= LEAST_G) & (F.col("odds") >= least_odds)).orderBy(rank.desc(), "term").limit(most_terms)
     terms: dict[str, float] = {}
     for r in top.collect():
         name = r.term.rstrip("*")
@@ -202,7 +215,16 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         # them as they are, their own entry finds them misspelled. match() gives one term, so a word is one hit.
         if not r.term.endswith("*") or not (any(name[:k] + "*" in terms for k in range(1, len(name) + 1)) or any(t.startswith(name) for t in terms)):
             terms[r.term] = float(r.odds)
-    return terms
+    trie = Trie(terms)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if trie.maybe(w) and (trie.match(w) or ("", 0))[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["term"])
+
+    # Words that clean texts hold as often as toxic ones, and that lie within an edit of a term.
+    ordinary = counted.where(~F.col("term").endswith("*") & (odds < 0)).select("term").mapInArrow(near, "term string")
+    return terms | {r.term: 0.0 for r in ordinary.collect()}
 
 
 def learn_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -226,19 +248,20 @@ def _features(batches: Iterator[pa.RecordBatch], trie: Trie) -> Iterator[tuple[p
         yield batch, features(batch.column(batch.schema.get_field_index("text")), trie, cache)
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most_terms: int = MOST_TERMS, least_odds: float = LEAST_ODDS) -> tuple[dict[str, float], np.ndarray]:
     """The lexicon and the weights, from docs(doc_id, text) and labels(doc_id, toxic)."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    ids = sampled(known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), train_docs, "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # A document with both labels is toxic.
+    ids = sampled(known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), train_docs, "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     # Copies would make the words of one text look like words of many: of texts that share their least shingle, one stays.
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     shingles = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0))), lambda k: F.xxhash64(F.slice(w, k + 1, F.lit(4))))
     shingle = F.transform(F.array(words), shingles)[0]  # the words are split once, not for each shingle
-    rows = rows.withColumn("least", F.array_min(shingle)).dropDuplicates(["least", "toxic"]).select("text", "toxic")
+    rows = rows.withColumn("least", F.array_min(shingle)).groupBy("least", "toxic").agg(F.min(F.struct("doc_id", "text"))["text"].alias("text")).select("text", "toxic")
     rows = rows.cache()
     try:
-        terms = learn_lexicon(rows)
+        terms = learn_lexicon(rows, most_terms, least_odds)
         trie = Trie(terms)
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +271,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         got = rows.mapInArrow(counted, "toxic long, x array<double>").collect()
     finally:
         rows.unpersist()
-    y = np.array([r.toxic for r in got], float)
-    if not len(y):
+    if not got:
         return {}, np.array([0.0] * len(FEATURES) + [-30.0])
-    return terms, learn_weights(np.array(sorted([[*r.x, r.toxic] for r in got]))[:, :-1], np.array(sorted([[*r.x, r.toxic] for r in got]))[:, -1])
+    # In order, so that sums come out the same however the rows were spread.
+    told = np.array(sorted([*r.x, float(r.toxic)] for r in got))
+    return terms, learn_weights(told[:, :-1], told[:, -1])
 
 
 def score(docs: DataFrame, terms: dict[str, float], weights: np.ndarray) -> DataFrame:
