@@ -114,3 +114,9 @@ def quality(t):
             dup += line in seen
             seen.add(line)
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, sum(inside), n < 50 or 100 * sum(inside) > 50 * n
+
+
+def crc(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode())
