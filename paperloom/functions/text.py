@@ -12,6 +12,10 @@ TOTAL = r"(?i)\b(total|subtotal|sum|amount due|balance due|grand total)\b"
 ARITHMETIC = r"(-?\d[\d,]*(?:\.\d+)?)\s*([x×*+\-/÷])\s*(-?\d[\d,]*(?:\.\d+)?)\s*=\s*(-?\d[\d,]*(?:\.\d+)?)"
 AMOUNT = r"^-?\$?-?[\d,]+(?:\.\d+)?%?-?$"
 MONEY = r"^-?\$?-?[\d,]+\.\d{2}%?-?$"
+PRINTABLE = r"[^\x20-\x7E\t\u00A0-\x{10FFFF}]"
+ESCAPE = r"\\[A-Za-z]"
+GROUPS = r"(?<=\d)[, ](?=\d{3}(?:\D|$))"
+MONEY_MARKS = r"[,$€£¥]"
 WIDTHS = ((r"[ ]", 0.28), (r"[iljtfr.,:;'\"|!\[\]()]", 0.31), (r"[A-Z0-9]", 0.63), (r"[mw]", 0.85))
 OTHER_WIDTH = 0.52
 
@@ -54,7 +58,7 @@ def normalize(text: Column) -> Column:
 
 def loose_amount_key(text: Column) -> Column:
     """The key without separators before groups of three digits."""
-    return F.regexp_replace(normalize(text), r"(?<=\d)[, ](?=\d{3}(?:\D|$))", "")
+    return F.regexp_replace(normalize(text), GROUPS, "")
 
 
 def soft_match_key(text: Column) -> Column:
@@ -89,9 +93,84 @@ def looks_like_money(text: Column) -> Column:
 
 def looks_garbled(text: Column) -> Column:
     """Blank, with backslashes, or with under four fifths printable characters."""
-    n = F.length(text)
-    printable = F.length(F.regexp_replace(text, r"[^\x20-\x7E\u00A0-\u024F\u2010-\u205F\u20A0-\u20CF]", ""))
-    return (F.length(F.trim(text)) == 0) | (n - F.length(F.replace(text, F.lit("\\"), F.lit(""))) >= 2) | text.rlike(r"\\[A-Za-z]") | (printable < 0.8 * n)
+    t = F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    n = F.length(t)
+    printable = F.length(F.regexp_replace(t, PRINTABLE, ""))
+    return (n == 0) | (n - F.length(F.replace(t, F.lit("\\"), F.lit(""))) >= 2) | t.rlike(ESCAPE) | (printable < 0.8 * n)
+
+
+def readable(stream: Column, visual: Column) -> Column:
+    """Of a stream's and a viewer's text for one run the one to show: what isn't garbled; of two good ones that are the same
+    run the one with money marks, else the longer; the viewer's if they differ."""
+    a, b = (F.trim(F.regexp_replace(c, r"[ \t]+", " ")) for c in (stream, visual))
+    bad_a, bad_b = looks_garbled(a), looks_garbled(b)
+    same = F.when(a.rlike(MONEY_MARKS) & ~b.rlike(MONEY_MARKS), a).when(F.length(a) >= F.length(b), a).otherwise(b)
+    return F.when(b == "", a).when(a == "", b).when(~bad_a & ~bad_b & same_visible_run(a, b), same).when(bad_b, a).otherwise(b)
+
+
+def sanitized(text: Column) -> Column:
+    """Without control characters, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x1F\x7F]", ""), f"{SPACE}+", " "))
+
+
+def format_like(sample: Column, value: Column) -> Column:
+    """A figure with the sample's number of decimals and its grouping. Halves of the shortest decimal form go up."""
+    decimals = F.when(sample.contains("."), F.length(F.split(sample, r"\.")[1])).otherwise(0)
+    fixed = F.round(value.cast("decimal(30,12)"), 12)
+    out = F.lit(None).cast("string")
+    for d in range(7):
+        plain = F.round(fixed, d).cast(f"decimal(30,{d})").cast("string")
+        out = F.when(decimals == d, plain).otherwise(out)
+    whole, rest = F.regexp_extract(out, r"^(-?\d+)", 1), F.regexp_extract(out, r"^-?\d+(.*)$", 1)
+    return F.when(sample.contains(","), F.concat(F.regexp_replace(whole, r"\B(?=(\d{3})+$)", ","), rest)).otherwise(out)
+
+
+def aligned(text: Column) -> Column:
+    """The characters that count when texts are laid over each other, folded, with their places: no white space, hyphens
+    and commas between digits."""
+    chars = F.split(text, "(?!^)")
+
+    def kept(c: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(c, k), F.lit(""))
+        told = F.transform(c, lambda ch, k: F.struct(fold_punctuation(ch).alias("ch"), k.alias("at"), ((ch == ",") & at(k - 1).rlike(r"^\d$") & at(k + 1).rlike(r"^\d$")).alias("comma")))
+        return F.filter(told, lambda x: (x["ch"] != "") & ~x["ch"].rlike(f"^{SPACE}$") & (x["ch"] != "-") & ~x["comma"])
+
+    return F.transform(F.array(chars), kept)[0]
+
+
+#: Least number of counting characters of a text that is looked for by alignment.
+LEAST_ALIGNED = 6
+
+
+def fuzzy_span(text: Column, needle: Column) -> Column:
+    """Where a needle stands in a text, as a struct of start and end: as it is, with folded punctuation, or laid over it
+    without white space, hyphens and grouping commas (six characters at least). Null where it doesn't."""
+    folded = fold_punctuation(needle)
+    span = lambda at, n: F.struct((at - 1).alias("start"), (at - 1 + n).alias("end"))
+
+    def over(p: Column) -> Column:
+        joined = lambda side: F.array_join(F.transform(p[side], lambda x: x["ch"]), "")
+        n = F.size(p["n"])
+        return F.transform(
+            F.array(F.instr(joined("t"), joined("n"))),
+            lambda at: F.when((n >= LEAST_ALIGNED) & (at > 0), F.struct(F.get(p["t"], at - 1)["at"].alias("start"), (F.get(p["t"], at + n - 2)["at"] + 1).alias("end"))),
+        )[0]
+
+    laid = F.transform(F.array(F.struct(aligned(text).alias("t"), aligned(needle).alias("n"))), over)[0]
+    found = F.when(F.contains(text, needle), span(F.instr(text, needle), F.length(needle))).when((folded != "") & F.contains(text, folded), span(F.instr(text, folded), F.length(folded))).otherwise(laid)
+    return F.when((text != "") & (F.trim(needle) != ""), found)
+
+
+def spliced(text: Column, needle: Column, new: Column) -> Column:
+    """The text with the needle's place taken by another text; null where it has none."""
+    at = fuzzy_span(text, needle)
+    return F.transform(F.array(at), lambda s: F.concat(F.substring(text, F.lit(1), s["start"]), new, F.substring(text, s["end"] + 1, F.length(text))))[0]
+
+
+def same_text(stream: Column, visual: Column) -> Column:
+    """Whether a stream's text and a viewer's are the same run, or one holds the other."""
+    held = fuzzy_span(stream, visual).isNotNull() | fuzzy_span(visual, stream).isNotNull()
+    return same_visible_run(stream, visual) | ((F.trim(stream) != "") & (F.trim(visual) != "") & held)
 
 
 def clean_copy(text: Column) -> Column:

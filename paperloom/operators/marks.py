@@ -49,6 +49,19 @@ def stamp(ts: Column) -> Column:
     return F.date_format(ts, "'D:'yyyyMMddHHmmss'Z'")
 
 
+# Labels of fields to be signed.
+FIELD_LABELS = {"signature": "Signature", "initials": "Initials", "date": "Date", "text": "Text"}
+
+
+def signed_date(ts: Column) -> Column:
+    """The day of signing as it is printed."""
+    return F.date_format(ts, "dd MMM yyyy")
+
+
+def field_label(kind: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])[kind]
+
+
 def checkbox_on(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin("yes", "true", "on", "1"), F.lit(False))
 

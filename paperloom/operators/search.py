@@ -18,24 +18,37 @@ def occurrences(text: Column, needle: Column) -> Column:
     """Starts (code points, from 0) of all occurrences, leftmost and without overlap; none for an empty needle."""
     gaps = F.split(text, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit("\\E")), -1)
     lengths = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.length(g) + F.length(needle))
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-    return F.when(F.length(needle) > 0, F.transform(ends, lambda e: e - F.length(needle))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(needle) > 0, F.transform(running(lengths), lambda e: e - F.length(needle))).otherwise(F.array().cast("array<int>"))
+
+
+def running(steps: Column, block: int = 64) -> Column:
+    """Running sums of an array of ints: sums of whole blocks first, then within the block, so long arrays stay cheap."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def placed(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / block).cast("int")), lambda b: total(F.slice(n, b * block + 1, F.lit(block))))
+        before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+        return F.transform(F.array(before), lambda r: F.transform(n, lambda _, k: F.get(r, F.floor(k / block).cast("int")) + total(F.slice(n, (k - k % block + 1).cast("int"), (k % block + 1).cast("int")))))[0]
+
+    return F.transform(F.array(steps), placed)[0]
 
 
 def find_lines(lines: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of queries(query_id, query) in lines(doc_id, seq, text): place and snippet. Wherever a query of three words or
-    more stands, its inner words stand between blanks, so lines and queries meet in an equi-join on the longest of them.
-    Marks or letters may touch the words of shorter ones; those are tested on every line."""
+    """Hits of queries(query_id, query) in lines(doc_id, seq, text): place and snippet. A query's key is a word of it: of
+    three words or more the longest inner one, which stands between blanks wherever the query does; of fewer the longest,
+    which letters or marks may touch. Keys meet the distinct words of all lines, those of short queries by containment, so
+    that the only join without equal keys is over the vocabulary; lines are known by number until a word has met."""
     q = queries.select("query_id", normalized_query(F.lower("query")).alias("needle")).where("needle <> ''")
     words = F.split("needle", " ")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    q = q.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    text = normalized_query(F.lower("text"))
-    whole = lines.select("doc_id", "seq", text.alias("text")).where("text <> ''")
-    tokens = whole.withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
-    met = tokens.join(q.where("word is not null"), "word").drop("word")
-    met = met.unionByName(whole.join(q.where("word is null").drop("word"), F.col("text").contains(F.col("needle"))))
-    hits = met.withColumn("start", F.explode(occurrences(F.col("text"), F.col("needle"))))
+    whole = F.size(words) > 2
+    longest = F.array_max(F.transform(F.when(whole, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(words), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = q.select("query_id", "needle", longest.alias("key"), whole.alias("whole"))
+    text = lines.select("doc_id", "seq", normalized_query(F.lower("text")).alias("text")).where("text <> ''")
+    tokens = text.select("doc_id", "seq", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
+    touched = tokens.select("token").distinct().join(q.where("not whole"), F.col("token").contains(F.col("key"))).select("token", "query_id")
+    pairs = touched.union(q.where("whole").select("key", "query_id"))
+    met = tokens.join(pairs, "token").select("doc_id", "seq", "query_id").distinct()
+    hits = met.join(text, ["doc_id", "seq"]).join(q.select("query_id", "needle"), "query_id").withColumn("start", F.explode(occurrences(F.col("text"), F.col("needle"))))
     end = F.col("start") + F.length("needle")
     return hits.select("query_id", "doc_id", "seq", "start", end.alias("end"), snippet(F.col("text"), F.col("start"), end).alias("snippet"))
 
@@ -47,7 +60,7 @@ def hit_boxes(runs: DataFrame, query: str) -> DataFrame:
     text = F.lower(F.array_join(F.transform("runs", lambda r: r["text"]), " "))
     d = line.withColumn("start", F.explode(occurrences(text, needle))).withColumn("end", F.col("start") + F.length(needle))
     # Each run's characters begin one after the end of the run before it.
-    at = F.transform("runs", lambda r, k: F.aggregate(F.slice("runs", 1, k), F.lit(0), lambda a, b: a + F.length(b["text"]) + 1))
+    at = F.transform(running(F.transform("runs", lambda r: F.length(r["text"]) + 1)), lambda e, k: e - F.length(F.get("runs", k)["text"]) - 1)
     d = d.withColumn("piece", F.explode(F.arrays_zip("runs", at.alias("at"))))
     r, begin = F.col("piece.runs"), F.col("piece.at")
     n = F.length(r["text"])

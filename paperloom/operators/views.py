@@ -21,10 +21,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text"))
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Items of orders with their part; order and line number don't identify an item in the driver's tables, so lines are
-    numbered anew."""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    numbered anew. `more`: further columns of items."""
+    item = table(spark, sf_dir, "lineitem").select(*more, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     return item.withColumn("line", line).join(part, item.l_partkey == part.p_partkey)

@@ -9,31 +9,13 @@ from paperloom.functions import fonts as ff
 from paperloom.functions import geometry as g
 from paperloom.functions import text as t
 from paperloom.operators import drafts, fonts, glyphs, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
-from paperloom.plans import sql
+from paperloom.plans import edits, scalars, scans, sql  # noqa: F401 (the first three register queries)
+from paperloom.plans.registry import QUERIES, SQL, query, rounded
 from paperloom.session import table
 from paperloom.sources import content
 from paperloom.streaming import lines as stream
 
 FLAGSHIP = "check_numbers"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Registers a function of (spark, sf_dir) under a name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if oracle is not None:
-            SQL[name] = oracle
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), 6) for n in names})
-
 
 @query("check_numbers", sql.CHECK_NUMBERS)
 def check_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -319,17 +301,23 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return recognition.otsu(hist)
 
 
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The first five words of every benchmark item's first line, and the longest word of every item."""
+    b = table(spark, d, "benchmark")
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    longest = F.get(F.filter(words, lambda w: F.length(w) == F.array_max(F.transform(words, lambda v: F.length(v)))), 0)
+    five = b.select((F.col("item_id") * 2).alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 5), " ").alias("query"))
+    return five.union(b.select(F.col("item_id") * 2 + 1, longest))
+
+
 @query("phrase_search", sql.PHRASE_SEARCH)
 def phrase_search(spark: SparkSession, d: str) -> DataFrame:
-    """The first five words of every benchmark item, looked for in all lines."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 5), " ").alias("query"))
-    return search.find_lines(views.lines(spark, d), q).select("query_id", "doc_id", "seq", "start", "end")
+    return search.find_lines(views.lines(spark, d), _phrases(spark, d)).select("query_id", "doc_id", "seq", "start", "end")
 
 
-@query("phrase_snippets")
+@query("phrase_snippets", sql.PHRASE_SNIPPETS)
 def phrase_snippets(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 3), " ").alias("query"))
-    return search.find_lines(views.lines(spark, d), q)
+    return search.find_lines(views.lines(spark, d), _phrases(spark, d))
 
 
 @query("hit_boxes")

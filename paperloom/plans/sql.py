@@ -92,7 +92,7 @@ MATCH_KEYS = """WITH k AS (SELECT p_partkey, trim(regexp_replace(p_type || '  -
 SELECT p_partkey, key, regexp_replace(key, '(\\d)[, ](\\d{3})$', '\\1\\2') AS loose, regexp_replace(key, '\\s*-\\s*', '-', 'g') AS soft FROM k"""
 GARBLED_LINES = """WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT lang, count(*) AS n, count(*) FILTER (WHERE length(trim(line)) = 0 OR length(line) - length(replace(line, '\\', '')) >= 2) AS n_bad FROM l GROUP BY lang"""
-PAGE_RANGES = """WITH s AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 + 1 AS a, o_orderkey % 7 + 3 AS b, o_orderkey % 11 + 1 AS c FROM orders WHERE o_orderkey % 10 = 1),
+PAGE_RANGES = """WITH s AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 + 1 AS a, o_orderkey % 7 + 3 AS b, o_orderkey % 11 + 1 AS c FROM orders),
 r AS (SELECT *, CASE WHEN a <= b AND b <= 10 AND c <= 10 THEN list_concat(range(a, b + 1), CASE WHEN c BETWEEN a AND b THEN []::BIGINT[] ELSE [c] END) END AS p FROM s)
 SELECT doc_id, a || '-' || b || ', ' || c AS spec, coalesce(array_to_string(p, ','), 'error') AS pages FROM r"""
 _SHARED = """(CASE WHEN least(r.x + r.width, m.x + m.width) > greatest(r.x, m.x) AND least(r.y + r.height, m.y + m.height) > greatest(r.y, m.y)
@@ -155,11 +155,18 @@ c AS (SELECT image_id, level, sum(n) OVER u AS w0, sum(n * level) OVER u AS s0,
   WINDOW u AS (PARTITION BY image_id ORDER BY level ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY image_id)),
 v AS (SELECT image_id, level, CASE WHEN w > w0 THEN w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) ELSE 0 END AS b FROM c)
 SELECT image_id, level AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b DESC, level) = 1"""
-PHRASE_SEARCH = f"""WITH {LINES}, q AS (SELECT item_id AS query_id, lower(array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:5], ' ')) AS needle FROM benchmark),
-l AS (SELECT doc_id, seq, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM lines),
-h AS (SELECT query_id, doc_id, seq, string_split(text, needle) AS gaps, length(needle) AS n FROM l JOIN q ON contains(text, needle) AND list_has_all(string_split(text, ' '), [w FOR w IN string_split(needle, ' ') IF length(w) = list_max([length(v) FOR v IN string_split(needle, ' ')])][1:0])),
-e AS (SELECT query_id, doc_id, seq, n, gaps, unnest(range(1, len(gaps))) AS k FROM h)
-SELECT query_id, doc_id, seq, CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + (k - 1) * n AS INTEGER) AS start, CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + k * n AS INTEGER) AS "end" FROM e"""
+#: Searched phrases: the first five words of every benchmark item's first line, and the longest word of every item.
+QUERIES = """bench AS (SELECT item_id, string_split(string_split(text, chr(10))[1], ' ') AS five, string_split(replace(text, chr(10), ' '), ' ') AS words FROM benchmark),
+q AS (SELECT item_id * 2 AS query_id, lower(array_to_string(five[1:5], ' ')) AS needle FROM bench
+  UNION ALL SELECT item_id * 2 + 1, lower([w FOR w IN words IF length(w) = list_max([length(v) FOR v IN words])][1]) FROM bench)"""
+HITS = f"""{LINES}, {QUERIES}, l AS (SELECT doc_id, seq, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM lines),
+h AS (SELECT query_id, doc_id, seq, text, string_split(text, needle) AS gaps, length(needle) AS n FROM l JOIN q ON contains(text, needle)),
+e AS (SELECT query_id, doc_id, seq, text, n, gaps, unnest(range(1, len(gaps))) AS k FROM h),
+hits AS (SELECT query_id, doc_id, seq, text, CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + (k - 1) * n AS INTEGER) AS start,
+  CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + k * n AS INTEGER) AS "end" FROM e)"""
+PHRASE_SEARCH = f"""WITH {HITS} SELECT query_id, doc_id, seq, start, "end" FROM hits"""
+PHRASE_SNIPPETS = f"""WITH {HITS}, c AS (SELECT *, greatest(start - 28, 0) AS lo, least("end" + 28, length(text)) AS hi FROM hits)
+SELECT query_id, doc_id, seq, start, "end", CASE WHEN lo > 0 THEN '…' ELSE '' END || substring(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS snippet FROM c"""
 PAGE_VIEWPORT = f"""WITH {PAGES} SELECT doc_id, pos,
   CAST(CASE rotation WHEN 0 THEN 150.0 WHEN 90 THEN pos * 15.0 WHEN 180 THEN 892.5 - 150.0 ELSE 1263.0 - pos * 15.0 END AS DOUBLE) AS view_x,
   CAST(CASE rotation WHEN 0 THEN 1263.0 - pos * 15.0 WHEN 90 THEN 150.0 WHEN 180 THEN pos * 15.0 ELSE 892.5 - 150.0 END AS DOUBLE) AS view_y,
