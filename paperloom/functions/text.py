@@ -138,6 +138,11 @@ def aligned(text: Column) -> Column:
     return F.transform(F.array(chars), kept)[0]
 
 
+def aligned_key(text: Column) -> Column:
+    """The characters that count, as one text."""
+    return F.regexp_replace(fold_punctuation(text), f"[{SPACE[1:-1]}-]|(?<=[0-9]),(?=[0-9])", "")
+
+
 #: Least number of counting characters of a text that is looked for by alignment.
 LEAST_ALIGNED = 6
 

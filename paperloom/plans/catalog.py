@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fonts as ff
 from paperloom.functions import geometry as g
 from paperloom.functions import text as t
-from paperloom.operators import drafts, fonts, glyphs, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
+from paperloom.operators import drafts, glyphs, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
 from paperloom.plans import edits, scalars, scans, sql  # noqa: F401 (the first three register queries)
 from paperloom.plans.registry import QUERIES, SQL, query, rounded
 from paperloom.session import table
@@ -374,13 +374,6 @@ def font_families(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("standard", ff.standard_font(F.col("family"), F.col("bold"), F.col("italic")))
 
 
-@query("closest_font")
-def closest_font(spark: SparkSession, d: str) -> DataFrame:
-    faces = [(1, "embedded", "ABCDEF+Helvetica-Bold"), (2, "system", "Arial"), (3, "system", "Times New Roman Bold"), (4, "bundled", "Liberation Sans"), (5, "bundled", "Liberation Serif"), (6, "standard", "Courier")]
-    hints = _font_names(spark, d).select(F.col("p_partkey").alias("hint_id"), "name")
-    return fonts.closest(hints, spark.createDataFrame(faces, "font_id int, source string, label string"))
-
-
 @query("missing_glyphs", sql.MISSING_GLYPHS)
 def missing_glyphs(spark: SparkSession, d: str) -> DataFrame:
     """Characters of each document that the single-byte encoding lacks, with repeats."""
