@@ -79,7 +79,7 @@ def apply_patches(spark: SparkSession, d: str) -> DataFrame:
     s, p = _shows(spark, d), _patches(spark, d)
     none = s.limit(0)
     planned = edits.plan(edits.inspect(s, p, none))
-    return edits.apply_plan(s, edits.find_shows(s, p), planned).select("doc_id", "ord", "text")
+    return edits.apply_plan(s, planned).select("doc_id", "ord", "text")
 
 
 BOXED = f"""WITH {sql.RUNS}, w AS (SELECT *, greatest(5.4::DOUBLE, length(text) * 4.5) AS w FROM runs),

@@ -44,7 +44,7 @@ def painted_shows(spark: SparkSession, d: str) -> DataFrame:
 
 PAINT = f"""WITH {sql.RUNS}, k AS (SELECT doc_id, line, min(text) FILTER (WHERE ord = 0) AS name FROM runs GROUP BY doc_id, line),
 g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE length(name) >= 8) AS pairs FROM k GROUP BY doc_id)
-SELECT doc_id, n * 5 AS shows, n * 4 AS visible, n AS hidden, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS full_images, n AS modes_inside, n * 2 AS modes_outside, pairs, pairs > 0 AS stacked FROM g"""
+SELECT doc_id, n * 5 AS shows, n * 4 AS visible, n AS hidden, CAST(doc_id % 2 = 0 AS BIGINT) AS full_images, n AS modes_inside, n * 2 AS modes_outside, pairs, pairs > 0 AS stacked FROM g"""
 
 
 @query("scan_paint", PAINT)
