@@ -2,57 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import _written, clear, cut, shared_folder, table  # noqa: F401
+
 #: What separates words in the contracts that speak of "[^\x20\x09-\x0D]+".
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a local session gets a temporary one, as in tests; a
-    cluster is refused, since its executors would write to disks of their own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-#: Tables that this driver wrote and hasn't deleted.
-_written: list[str] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a written table in the shared folder, so that lost executors and reruns don't repeat the work.
-    Results read such tables, so they stay until `clear`."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/paperloom-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that this driver's queries wrote, those of failed ones too. Call it when their results are stored."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A beginning of names that no column of df has, for columns on the way."""
     while any(c.lower().startswith(stem) for c in df.columns):
