@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chat, decontamination, language, mixing, ngram_jaccard, quality_rules, secrets, substring_dedup, token_counts, toxicity
+from paperloom.llm import chat, clustering, decontamination, language, manifest, mixing, ngram_jaccard, quality_rules, secrets, sql, substring_dedup, token_counts, toxicity, warc
 from paperloom.llm.common import table
 
 
@@ -54,6 +54,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op6_chat_formatting": op6_chat_formatting, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op6_chat_formatting": op6_chat_formatting, "op2_toxicity": op2_toxicity, "op3_suffix_dedup": op3_suffix_dedup, "op1_ngram_jaccard": op1_ngram_jaccard, "op4_secret_scans": op4_secret_scans, "op5_decontamination": op5_decontamination, "op7_quality_rules": op7_quality_rules, "op8_mixing": op8_mixing, "op9_language_id": op9_language_id, "op10_token_counts": op10_token_counts,
+           "op11_merkle_manifest": op11_merkle_manifest, "op12_centroid_clustering": op12_centroid_clustering, "op13_warc": op13_warc}
+
+SQL: dict[str, str] = {"op11_merkle_manifest": sql.MERKLE_MANIFEST, "op12_centroid_clustering": sql.CENTROID_CLUSTERING, "op13_warc": sql.WARC}
