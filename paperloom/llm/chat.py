@@ -5,27 +5,31 @@ in alternation. Each turn is kept, relabelled, merged into the message before it
 message; dynamic programming finds the cheapest way, and the repaired sequence is rendered.
 
 A turn's choices are a matrix of costs from state to state, and matrices of neighbouring stretches combine (least sum), so
-a conversation of any length is cut into stretches of SPAN turn numbers, and further where many rows share a number or have
-none: stretches are solved in parallel for every state
-they may begin in, a short pass over the stretches fixes the states between them, and each stretch is then rendered on its
-own. A conversation within one stretch needs a single pass.
+a conversation of any length is cut into stretches of SPAN turn numbers, and where more than SPAN rows share a number or have
+none, into ranges of role and text: stretches are solved in parallel for every state they may begin in, a short pass over
+the stretches fixes the states between them, and each stretch is then rendered on its own. A conversation within one
+stretch needs a single pass.
+
+Where several ways cost the same, a number by turn and choice decides, whose sum is part of the cost; costs are whole numbers,
+so what is chosen doesn't depend on where stretches end.
 
 The result has a row for each turn, in the order of `place` within its conversation; joining `rendered` in that order
 gives the conversation's text.
 
 Nulls: a null role counts as none of the legal ones and is relabelled; a null text is an empty one; turns without a number
 come first; a null conv_id is one conversation. Rows that repeat (conversation, number, role and text) count once; other
-rows with the same number stand in order of role and text, within slots by hash where more than SPAN rows share it. Unknown roles are relabelled, known aliases are free. Extra
+rows with the same number stand in order of role and text (null ones last). Unknown roles are relabelled, known aliases are free. Extra
 columns are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut
@@ -58,40 +62,50 @@ def choices(role: str | None, state: int) -> list[tuple[float, int, str, int]]:
     return out
 
 
-_INF = float("inf")
-
-
-def _forward(roles: list[str | None], begin: int) -> tuple[list[float], list[list[tuple[int, tuple]]]]:
-    """Least cost to each state after all turns, and how each was reached."""
-    best, steps = [_INF] * 4, []
-    best[begin] = 0.0
-    known: dict = {}
-    for role in roles:
-        after, how = [_INF] * 4, [None] * 4
-        for state in range(4):
-            if best[state] == _INF:
-                continue
-            if (role, state) not in known:
-                known[role, state] = choices(role, state)
-            for choice in known[role, state]:
-                cost = best[state] + choice[0]
-                if cost < after[choice[1]] - 1e-9:
+#: Costs are counted in hundredths, times UNIT; below it adds up what decides between equal ones.
+UNIT = 1 << 48
+_MIXED = 0x9E3779B97F4A7C15
+
+
+def lots(turn: int | None, role: str | None, text: str | None) -> int:
+    """A number by which a turn's choices are told apart."""
+    return zlib.crc32((text or "").encode(errors="replace"), zlib.crc32(f"{turn} {role} ".encode(errors="replace"))) | 1 << 32
+
+
+def _forward(turns: list[tuple[str | None, int]], begin: int) -> tuple[list[int | None], list[list[tuple[int, tuple] | None]]]:
+    """turns: role and lots. Least cost to each state after all turns, and how each was reached."""
+    best: list[int | None] = [None] * 4
+    best[begin], steps, known = 0, [], {}
+    for role, lot in turns:
+        if role not in known:
+            known[role] = [(state, [(round(c[0] * 100) * UNIT, c) for c in choices(role, state)]) for state in range(4)]
+        after: list[int | None] = [None] * 4
+        how: list[tuple[int, tuple] | None] = [None] * 4
+        mixed = lot
+        for state, ways in known[role]:
+            sofar = best[state]
+            for base, choice in ways:
+                mixed = (mixed * _MIXED + 1) & 0xFFFFFFFFFFFFFFFF  # moved on for each way, so a way's lot doesn't depend on `best`
+                if sofar is None:
+                    continue
+                cost = sofar + base + (mixed >> 40)
+                if after[choice[1]] is None or cost < after[choice[1]]:
                     after[choice[1]], how[choice[1]] = cost, (state, choice)
         best = after
         steps.append(how)
     return best, steps
 
 
-def final(state: int) -> float:
+def final(state: int) -> int:
     """What it costs to end in a state: a lone system message is followed by an empty user message."""
-    return COSTS["no_user"] if state == SYSTEM else 0.0
+    return round(COSTS["no_user"] * 100) * UNIT if state == SYSTEM else 0
 
 
-def repaired(roles: list[str | None], begin: int = START, end: int | None = None) -> list[tuple[int, tuple]]:
-    """For each turn the state before it and the choice, at least cost; ties go to the earlier state and choice."""
-    best, steps = _forward(roles, begin)
+def repaired(turns: list[tuple[str | None, int]], begin: int = START, end: int | None = None) -> list[tuple[int, tuple]]:
+    """For each turn (role and lots) the state before it and the choice, at least cost."""
+    best, steps = _forward(turns, begin)
     if end is None:
-        end = min(range(4), key=lambda s: (best[s] + final(s), s))
+        end = min((s for s in range(4) if best[s] is not None), key=lambda s: (best[s] + final(s), s))
     path = []
     for how in reversed(steps):
         path.append(how[end])
@@ -118,14 +132,20 @@ def rendered(path: list[tuple[int, tuple]], texts: list[str], last: bool) -> lis
     return out
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """Turns in their order: those without a number first, then by role and text, null ones last."""
+    table = table.sort_by([("turn", "ascending"), ("role", "ascending"), ("text", "ascending")])
+    known = pc.is_valid(table.column("turn"))
+    return pa.concat_tables([table.filter(pc.invert(known)), table.filter(known)])
+
+
+def _turns(table: pa.Table) -> list[tuple[str | None, int]]:
+    return [(role, lots(turn, role, text)) for turn, role, text in zip(*(table.column(c).to_pylist() for c in ("turn", "role", "text")))]
+
+
 def _told(table: pa.Table, begin: int = START, end: int | None = None, last: bool = True, place: int = 0) -> pa.Table:
-    table = table.select(["conv_id", "turn", "role", "text"]).sort_by([("turn", "ascending"), ("role", "ascending"), ("text", "ascending")])
-    turn = table.column("turn").to_pylist()
-    nulls = [k for k, t in enumerate(turn) if t is None]
-    if nulls:
-        table = table.take(pa.array(nulls + [k for k, t in enumerate(turn) if t is not None]))
-    roles = table.column("role").to_pylist()
-    path = repaired(roles, begin, end)
+    table = _ordered(table.select(["conv_id", "turn", "role", "text"]))
+    path = repaired(_turns(table), begin, end)
     texts = rendered(path, table.column("text").to_pylist(), last)
     return pa.table({
         "conv_id": table.column("conv_id"), "turn": table.column("turn"), "place": pa.array(range(place, place + len(path)), pa.int64()), "role_in": table.column("role"),
@@ -135,26 +155,27 @@ def _told(table: pa.Table, begin: int = START, end: int | None = None, last: boo
 
 
 def _stretch(table: pa.Table) -> pa.Table:
-    """A stretch's matrix: least cost from each state before it to each state after it."""
-    ordered = table.sort_by([("turn", "ascending"), ("role", "ascending"), ("text", "ascending")])
-    turn = ordered.column("turn").to_pylist()
-    roles = ordered.column("role").to_pylist()
-    roles = [r for r, t in zip(roles, turn) if t is None] + [r for r, t in zip(roles, turn) if t is not None]
-    matrix = [c for begin in range(4) for c in _forward(roles, begin)[0]]
-    return pa.table({"conv_id": table.column("conv_id")[:1], **{c: table.column(c)[:1] for c in STRETCH}, "n": pa.array([len(roles)], pa.int64()), "matrix": pa.array([matrix], pa.list_(pa.float64()))})
+    """A stretch's matrix: least cost from each state before it to each state after it, as decimal numbers."""
+    turns = _turns(_ordered(table))
+    matrix = [None if c is None else str(c) for begin in range(4) for c in _forward(turns, begin)[0]]
+    return pa.table({"conv_id": table.column("conv_id")[:1], **{c: table.column(c)[:1] for c in STRETCH}, "n": pa.array([len(turns)], pa.int64()), "matrix": pa.array([matrix], pa.list_(pa.string()))})
 
 
 def _chained(table: pa.Table) -> pa.Table:
     """The states between the stretches of a conversation."""
     table = table.sort_by([(c, "ascending") for c in STRETCH])
-    matrices = [np.array(m).reshape(4, 4) for m in table.column("matrix").to_pylist()]
-    costs = [np.array([0.0, _INF, _INF, _INF])]
+    matrices = [[None if c is None else int(c) for c in m] for m in table.column("matrix").to_pylist()]
+    costs: list[list[int | None]] = [[0, None, None, None]]
+
+    def ways(m: list, before: list, end: int) -> list[tuple[int, int]]:
+        return [(before[s] + m[4 * s + end], s) for s in range(4) if before[s] is not None and m[4 * s + end] is not None]
+
     for m in matrices:
-        costs.append((costs[-1][:, None] + m).min(axis=0))
-    state = min(range(4), key=lambda s: (costs[-1][s] + final(s), s))
+        costs.append([min(ways(m, costs[-1], end), default=(None,))[0] for end in range(4)])
+    state = min((s for s in range(4) if costs[-1][s] is not None), key=lambda s: (costs[-1][s] + final(s), s))
     ends = [state]
     for m, before in zip(reversed(matrices), reversed(costs[:-1])):
-        state = int(np.argmin(before + m[:, state]))
+        state = min(ways(m, before, state))[1]
         ends.append(state)
     ends = ends[::-1]
     n = np.array(table.column("n").to_pylist(), np.int64)
@@ -169,35 +190,46 @@ def _placed(table: pa.Table) -> pa.Table:
     return _told(table, one["begin"], one["end"], one["last"], one["first_place"])
 
 
-def _stretches(turns: DataFrame, span: int) -> DataFrame:
-    """turns with the three numbers that order their stretches: `part`, turn numbers by the `span` (those without a number
-    first); `step`, the turn itself in parts where some number has more than `span` rows; `slot`, by hash, within such a
-    number. So no stretch grows with a conversation, nor with rows that share a number or have none."""
-    number = F.coalesce(F.col("turn"), F.lit(-(1 << 62)))
-    turns = turns.withColumn("part", F.floor(number / span).cast("long"))
+def number() -> Column:
+    """Turn numbers, those without one first."""
+    return F.coalesce(F.col("turn"), F.lit(-(1 << 62)))
+
+
+def _slots(turns: DataFrame, crowds: DataFrame, span: int) -> DataFrame:
+    """turns(conv_id, turn, role, text, part) with `step`, the turn itself in parts where some number has more than `span` rows,
+    and `slot`, ranges of role and text within such a number. Ranges are sorted each on their own, and rows of a range are cut
+    by the `span`, so no stretch grows with a conversation, nor with rows that share a number or have none."""
     zero = F.lit(0).cast("long")
-    crowds = cut(turns.groupBy("conv_id", "part", "turn").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > span))
-    if crowds.isEmpty():
-        return turns.withColumns({"step": zero, "slot": zero})
     crowded = crowds.select(F.col("conv_id").alias("c"), F.col("part").alias("p")).distinct().withColumn("crowded", F.lit(True))
-    slots = crowds.select(F.col("conv_id").alias("k"), F.col("turn").alias("t"), F.ceil(2 * F.col("n") / span).alias("slots"))
     d = turns.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    d = d.join(slots, F.col("conv_id").eqNullSafe(F.col("k")) & F.col("turn").eqNullSafe(F.col("t")), "left")
-    slot = F.coalesce(F.pmod(F.xxhash64("role", "text"), F.col("slots")), zero)
-    return d.select("conv_id", "turn", "role", "text", "part", F.when(F.col("crowded"), number).otherwise(zero).alias("step"), slot.alias("slot"))
+    d = d.select("conv_id", "turn", "role", "text", "part", F.when(F.col("crowded"), number()).otherwise(zero).alias("step"))
+    many = crowds.select(F.col("conv_id").alias("k"), F.col("turn").alias("t"))
+    same = F.col("conv_id").eqNullSafe(F.col("k")) & F.col("turn").eqNullSafe(F.col("t"))
+    order = (F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text"))
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = d.join(many, same, "left_semi").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("row", F.monotonically_increasing_id()))  # written, so that ranges stay as they were
+    return d.join(many, same, "left_anti").withColumn("slot", zero).union(ranged.withColumn("slot", F.floor(F.col("row") / span).cast("long")).drop("row"))
 
 
 def repair(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     """One row for each distinct turn of conversations(conv_id, turn, role, text)."""
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
-    turns = _stretches(turns, span)
-    long = cut(turns.where("part != 0 or step != 0 or slot != 0").select("conv_id").distinct())
+    turns = turns.withColumn("part", F.floor(number() / span).cast("long"))
+    counts = turns.groupBy("conv_id", "part", "turn").agg(F.count(F.lit(1)).alias("n"))
+    # One small table tells which conversations take more than one stretch, and which of their numbers have many rows.
+    crowded = F.filter(F.collect_list(F.when(F.col("n") > span, F.struct("part", "turn"))), lambda x: x.isNotNull())
+    long = counts.groupBy("conv_id").agg(F.min("part").alias("low"), F.max("part").alias("high"), crowded.alias("crowds"))
+    long = cut(long.where("low != 0 or high != 0 or size(crowds) > 0").select("conv_id", "crowds"))
     same = F.col("t.conv_id").eqNullSafe(F.col("l.conv_id"))
-    short = turns.alias("t").join(long.alias("l"), same, "left_anti").groupBy("conv_id").applyInArrow(lambda t: _told(t), OUT)
     if long.isEmpty():
-        return short
+        return turns.groupBy("conv_id").applyInArrow(lambda t: _told(t), OUT)
+    short = turns.alias("t").join(long.alias("l"), same, "left_anti").groupBy("conv_id").applyInArrow(lambda t: _told(t), OUT)
+    crowds = long.select("conv_id", F.inline("crowds"))
     parts = turns.alias("t").join(long.alias("l"), same, "left_semi")
-    matrices = parts.groupBy("conv_id", *STRETCH).applyInArrow(_stretch, "conv_id long, part long, step long, slot long, n long, matrix array<double>")
+    zero = F.lit(0).cast("long")
+    parts = parts.withColumns({"step": zero, "slot": zero}) if crowds.isEmpty() else _slots(parts, crowds, span)
+    matrices = parts.groupBy("conv_id", *STRETCH).applyInArrow(_stretch, "conv_id long, part long, step long, slot long, n long, matrix array<string>")
     chain = matrices.groupBy("conv_id").applyInArrow(_chained, "conv_id long, part long, step long, slot long, begin int, end int, last boolean, first_place long")
     met = F.col("p.conv_id").eqNullSafe(F.col("c.conv_id"))
     for name in STRETCH:

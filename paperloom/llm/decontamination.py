@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import pieces, utf8
+from paperloom.llm.common import fresh, pieces, utf8
 from paperloom.llm.hashing import Substrings
 
 WINDOW = 10
@@ -311,7 +311,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     searched in the text as it came; what all of them hit is cut once, after the last."""
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     at, n = docs.columns.index("text"), len(docs.columns)
-    found = T.StructType([*docs.schema, T.StructField("_spans", FOUND["spans"].dataType)])
+    held = fresh(docs, "_spans")
+    found = T.StructType([*docs.schema, T.StructField(held, FOUND["spans"].dataType)])
     blocks = _blocks(benchmark, block_words)
     phrases, out, first = next(blocks, None), docs, True
     while phrases is not None:
@@ -325,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
                 if not first:
                     spans = pa.array([a + b for a, b in zip(batch.column(n).to_pylist(), spans.to_pylist())], spans.type)
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, "_spans"])
+                    yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names, held])
                     continue
                 many = np.diff(spans.offsets.to_numpy())
                 if many.any():

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, common, language, mixing, ngram_jaccard, quality_rules, secrets, token_counts, toxicity
+from paperloom.llm import chat, common, decontamination, language, mixing, ngram_jaccard, quality_rules, secrets, token_counts, toxicity
 
 from . import brute
 
@@ -368,26 +368,63 @@ def test_repeated_rows_are_counted_each(spark):
 
 
 # Chat: stretches of rows without a number, and of one number.
-def test_rows_without_numbers_are_cut_into_stretches(spark, monkeypatch):
+def test_stretches_dont_change_the_result(spark):
     r = random.Random(6)
-    data = [(1, None, r.choice(("user", "assistant", "x")), f"t{k}") for k in range(300)] + [(1, 5, "user", f"u{k}") for k in range(90)] + [(1, t, "assistant", "a") for t in range(30)]
-    data += [(None, None, "user", f"n{k}") for k in range(40)] + [(2, 0, "user", "hi")]
+    data = [(1, None, r.choice(("user", "assistant", "x", None)), f"t{k}") for k in range(300)] + [(1, 5, "user", f"u{k}") for k in range(90)] + [(1, t, "assistant", "a") for t in range(30)]
+    data += [(None, None, r.choice(("user", "bot")), None if k == 7 else f"n{k}") for k in range(60)] + [(2, 0, "user", "hi")] + [(3, t, r.choice(("user", "user", "system")), "same") for t in range(50)]
     df = frame(spark, data, "conv_id long, turn long, role string, text string")
-    stretches = chat._stretches(df.distinct(), 16).groupBy("conv_id", *chat.STRETCH).count()
-    assert stretches.agg(F.max("count")).first()[0] <= 40 and stretches.where("conv_id = 1").count() > 20
-    got = chat.repair(df, span=16).collect()
-    assert len(got) == len(data)
-    for c in (1, 2, None):
-        mine = sorted((x.place, x.turn, x.rendered, x.role_in, x.cost) for x in got if x.conv_id == c)
-        assert [m[0] for m in mine] == list(range(len(mine)))
-        turns = [m[1] for m in mine]
-        assert turns == sorted(turns, key=lambda t: (t is not None, t or 0))
+    told = {}
+    for span in (10, 16, 40, 4096):
+        got = chat.repair(df, span=span).collect()
+        told[span] = sorted(((x.conv_id or 0, x.place, x.turn, x.role_in, x.role, x.action, x.inserted, x.cost, x.rendered) for x in got), key=repr)
+        assert len(got) == len(set(data))
+    assert told[10] == told[16] == told[40] == told[4096]
+    for c in (0, 1, 2, 3):
+        mine = sorted((x for x in told[10] if x[0] == c), key=lambda x: x[1])
+        assert [m[1] for m in mine] == list(range(len(mine)))
+        plain = sorted({(t, x, s) for i, t, x, s in data if (i or 0) == c}, key=lambda m: (m[0] is not None, m[0] or 0, m[1] is None, m[1] or "", m[2] is None, m[2] or ""))
+        path = chat.repaired([(x, chat.lots(t, x, s)) for t, x, s in plain])
+        assert [(m[2], m[3], m[7]) for m in mine] == [(t, x, p[1][0]) for (t, x, _), p in zip(plain, path)]
         state = chat.START
-        for role in re.findall(r"<\|im_start\|>(\w+)", "".join(m[2] for m in mine)):
+        for role in re.findall(r"<\|im_start\|>(\w+)", "".join(m[8] for m in mine)):
             assert chat.ROLES[role] in chat.LEGAL[state]
             state = chat.ROLES[role]
-        path = chat.repaired([m[3] for m in mine])
-        assert abs(sum(p[1][0] for p in path) - sum(m[4] for m in mine)) < 1e-6
+
+
+def test_crowds_are_cut_by_role_and_text(spark):
+    data = [(1, None, "user", f"t{k}") for k in range(200)] + [(1, 1, "user", "x")]
+    df = frame(spark, data, "conv_id long, turn long, role string, text string").withColumn("part", F.floor(chat.number() / 16).cast("long"))
+    crowds = df.groupBy("conv_id", "part", "turn").count().where("count > 16").drop("count")
+    stretches = [sorted(x.text for x in rows) for rows in _grouped(chat._slots(df, crowds, 16).collect(), chat.STRETCH)]
+    assert max(map(len, stretches)) <= 16 and sum(map(len, stretches)) == len(data)
+    assert sum((s for s in stretches if s != ["x"]), []) == sorted(x[3] for x in data[:-1])
+
+
+def _grouped(rows, by):
+    import itertools
+
+    key = lambda x: tuple(x[c] for c in by)
+    return [list(g) for _, g in itertools.groupby(sorted(rows, key=key), key=key)]
+
+
+# Lines and texts of any length.
+def test_long_lines_of_links(spark):
+    prose = " ".join(f"word{k} went to text{k}" for k in range(40)) + "."
+    texts = [(1, "home " * 100_000), (2, "contact us | " * 100_000 + "\n" + prose), (3, "home" * 100_000), (4, prose + "\n" + "read more » " * 100_000 + "and words\n" + prose + " too")]
+    got = {r.doc_id: r for r in quality_rules.report(frame(spark, texts)).collect()}
+    assert {k: r.base_failed for k, r in got.items()} == {1: True, 2: True, 3: True, 4: True}
+    short = [(1, "home | news\n" + prose + "\n" + prose.replace("word", "page").replace("text", "tail")), (2, "contact us » back to top\n" + prose), (3, "homes and news\n" + prose)]
+    left = {r.doc_id: r.text.split("\n")[0][:5] for r in quality_rules.clean(frame(spark, short)).collect()}
+    assert left == {1: "word0", 2: "word0", 3: "homes"}
+    assert quality_rules.clean(frame(spark, texts)).count() == 0
+
+
+def test_clean_keeps_columns_named_like_its_own_over_blocks(spark):
+    item = " ".join(f"item{k}" for k in range(12))
+    bench = frame(spark, [("a", item), ("b", item.replace("item", "other"))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {item} behind", "mine")], "doc_id long, text string, _spans string")
+    for words in (12, 1 << 20):
+        assert [tuple(r) for r in decontamination.clean(docs, bench, words).collect()] == [(1, "before  behind", "mine")]
 
 
 # Jaccard: blocks by shingles.
