@@ -122,7 +122,7 @@ def format_like(sample: Column, value: Column) -> Column:
         plain = F.round(fixed, d).cast(f"decimal(30,{d})").cast("string")
         out = F.when(decimals == d, plain).otherwise(out)
     whole, rest = F.regexp_extract(out, r"^(-?\d+)", 1), F.regexp_extract(out, r"^-?\d+(.*)$", 1)
-    return F.when(sample.contains(","), F.concat(F.regexp_replace(whole, r"\B(?=(\d{3})+$)", ","), rest)).otherwise(out)
+    return F.when(sample.contains(","), F.concat(F.regexp_replace(whole, r"\B(?=(?:\d{3})++$)", ","), rest)).otherwise(out)
 
 
 def aligned(text: Column) -> Column:
@@ -186,7 +186,7 @@ def clean_copy(text: Column) -> Column:
     out = F.regexp_replace(out, f"([;:])(?=[^{SPACE[1:-1]}])", "$1 ")
     out = F.regexp_replace(out, f",(?=[^{SPACE[1:-1]}])(?!(?<=[0-9],)[0-9])", ", ")
     edge, after = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-    return F.trim(F.regexp_replace(out, rf"(?iu){edge}(\p{{L}}+)({SPACE}+\1{after})+", "$1"))
+    return F.trim(F.regexp_replace(out, rf"(?iu){edge}(\p{{L}}++)(?:{SPACE}++\1{after})++", "$1"))
 
 
 def page_ranges(text: Column, pages: Column) -> Column:

@@ -1,11 +1,13 @@
-"""Phrase search with boxes: every place where a query stands in a page's items, white space collapsed, in any case."""
+"""Phrase search: every place where a query stands in a text, white space collapsed, in any case, by an index of words and
+their places; and boxes over hits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import SPACE, snippet
+from paperloom.session import cut
 
 PAD = 1.6
 
@@ -33,24 +35,81 @@ def running(steps: Column, block: int = 64) -> Column:
     return F.transform(F.array(steps), placed)[0]
 
 
+#: Longest gram by which parts of words are looked up.
+GRAM = 3
+
+
+class Index:
+    """Where words stand in texts(*keys, text): `texts`, lower-cased and with white space collapsed; `words`, a row for each word
+    of each text with its place; `vocabulary`, distinct words with their numbers of places. Stored in the shared folder if it
+    is to serve several searches, else worked out by the one it serves."""
+
+    def __init__(self, texts: DataFrame, keys: tuple[str, ...], stored: bool = False):
+        keep = cut if stored else lambda df: df
+        self.keys = keys
+        self.texts = keep(texts.select(*keys, normalized_query(F.lower("text")).alias("text")).where("text <> ''"))
+        self.words = keep(self.texts.select(*keys, F.posexplode(F.split("text", " ")).alias("place", "word")))
+        self.vocabulary = cut(self.words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _grams(word: Column) -> Column:
+    """The parts of a word of up to GRAM characters, each once; its beginnings are marked `<`, its ends `>`."""
+    sizes = [F.lit(n) for n in range(1, GRAM + 1)]
+    inner = F.flatten(F.transform(F.array(*sizes), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.concat(F.lit("*"), F.substring(word, i, n)))))
+    return F.array_distinct(F.concat(inner, F.transform(F.array(*sizes), lambda n: F.concat(F.lit("<"), F.left(word, n))), F.transform(F.array(*sizes), lambda n: F.concat(F.lit(">"), F.right(word, n)))))
+
+
+def _probes(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """query_id, needle, anchor (0 and 1), k, word: the words of the vocabulary that may stand where the query's rarest word
+    stands, and where its second rarest does. Inner words of a query stand as they are; its first is the end of a word, its
+    last a beginning, an only one a part. Those of three words or more are looked for by inner words alone."""
+    q = queries.select("query_id", normalized_query(F.lower("query")).alias("needle")).where("needle <> ''").withColumn("parts", F.split("needle", " "))
+    n = F.size("parts")
+    how = F.when(n == 1, "*").when(F.col("k") == 0, ">").when(F.col("k") == n - 1, "<").otherwise("=")
+    parts = q.select("query_id", "needle", "parts", F.posexplode("parts").alias("k", "part")).withColumn("how", how).where((n < 3) | (F.col("how") == "="))
+    parts = parts.withColumn("looked_for", F.when(n < 3, n).otherwise(n - 2)).drop("parts")
+    same = parts.where("how = '='").join(vocabulary, F.col("part") == F.col("word"))
+    loose = parts.where("how <> '='")
+    # The longest end or beginning that grams tell; of the grams within an only word one from its middle, where words differ most.
+    size = F.least(F.length("part"), F.lit(GRAM))
+    middle = F.floor((F.length("part") - size) / 2).cast("int") + 1
+    gram = F.concat("how", F.when(F.col("how") == "<", F.left("part", size)).when(F.col("how") == ">", F.right("part", size)).otherwise(F.substring(F.col("part"), middle, size)))
+    grams = vocabulary.select("word", "n", F.explode(_grams(F.col("word"))).alias("gram"))
+    fits = F.when(F.col("how") == "<", F.startswith("word", "part")).when(F.col("how") == ">", F.endswith("word", "part")).otherwise(F.contains("word", "part"))
+    near = loose.withColumn("gram", gram).join(grams, "gram").where(fits).drop("gram")
+    met = same.unionByName(near)
+    # A query of which some word stands nowhere has no hits. The parts of a query are few, so a window holds them.
+    of_part = met.groupBy("query_id", "needle", "looked_for", "k").agg(F.sum("n").alias("places"))
+    one = Window.partitionBy("query_id", "needle")
+    rank = of_part.withColumn("anchor", F.row_number().over(one.orderBy("places", "k")) - 1).withColumn("met", F.count(F.lit(1)).over(one))
+    rank = rank.where("met = looked_for and anchor < 2").select("query_id", "needle", "k", "anchor", F.least("met", F.lit(2)).alias("anchors"))
+    return rank.join(met.select("query_id", "needle", "k", "word"), ["query_id", "needle", "k"])
+
+
+def find(index: Index, queries: DataFrame) -> DataFrame:
+    """Hits of queries(query_id, query) in an index's texts: query_id, keys, start, end, text. Words are met by equality only.
+    Where the two rarest words of a query stand at their distance, the text is looked through; any white space of the text,
+    line ends too, parts words."""
+    probes = cut(_probes(queries, index.vocabulary))
+    at = index.words.join(probes, "word").select("query_id", "needle", *index.keys, (F.col("place") - F.col("k")).alias("at"), "anchor", "anchors")
+    places = at.where("anchor = 0")
+    second = at.where("anchor = 1").select("query_id", "needle", *index.keys, "at")
+    both = places.where("anchors = 2").join(second, ["query_id", "needle", *index.keys, "at"], "left_semi")
+    met = both.unionByName(places.where("anchors = 1")).select("query_id", "needle", *index.keys).distinct()
+    hits = met.join(index.texts, [*index.keys]).withColumn("start", F.explode(occurrences(F.col("text"), F.col("needle"))))
+    return hits.select("query_id", *index.keys, "start", (F.col("start") + F.length("needle")).alias("end"), "text")
+
+
 def find_lines(lines: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of queries(query_id, query) in lines(doc_id, seq, text): place and snippet. A query's key is a word of it: of
-    three words or more the longest inner one, which stands between blanks wherever the query does; of fewer the longest,
-    which letters or marks may touch. Keys meet the distinct words of all lines, those of short queries by containment, so
-    that the only join without equal keys is over the vocabulary; lines are known by number until a word has met."""
-    q = queries.select("query_id", normalized_query(F.lower("query")).alias("needle")).where("needle <> ''")
-    words = F.split("needle", " ")
-    whole = F.size(words) > 2
-    longest = F.array_max(F.transform(F.when(whole, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(words), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = q.select("query_id", "needle", longest.alias("key"), whole.alias("whole"))
-    text = lines.select("doc_id", "seq", normalized_query(F.lower("text")).alias("text")).where("text <> ''")
-    tokens = text.select("doc_id", "seq", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
-    touched = tokens.select("token").distinct().join(q.where("not whole"), F.col("token").contains(F.col("key"))).select("token", "query_id")
-    pairs = touched.union(q.where("whole").select("key", "query_id"))
-    met = tokens.join(pairs, "token").select("doc_id", "seq", "query_id").distinct()
-    hits = met.join(text, ["doc_id", "seq"]).join(q.select("query_id", "needle"), "query_id").withColumn("start", F.explode(occurrences(F.col("text"), F.col("needle"))))
-    end = F.col("start") + F.length("needle")
-    return hits.select("query_id", "doc_id", "seq", "start", end.alias("end"), snippet(F.col("text"), F.col("start"), end).alias("snippet"))
+    """Hits of queries(query_id, query) in lines(doc_id, seq, text): place and snippet."""
+    hits = find(Index(lines, ("doc_id", "seq")), queries)
+    return hits.select("query_id", "doc_id", "seq", "start", "end", snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
+
+
+def find_pages(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits of queries(query_id, query) in pages(doc_id, page, text), over line ends too: place and snippet."""
+    hits = find(Index(pages, ("doc_id", "page")), queries)
+    return hits.select("query_id", "doc_id", "page", "start", "end", snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
 
 
 def hit_boxes(runs: DataFrame, query: str) -> DataFrame:

@@ -9,7 +9,7 @@ from paperloom.functions import fonts as ff
 from paperloom.functions import geometry as g
 from paperloom.functions import text as t
 from paperloom.operators import drafts, glyphs, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
-from paperloom.plans import edits, scalars, scans, sql  # noqa: F401 (the first three register queries)
+from paperloom.plans import edits, objects, scalars, scans, sql  # noqa: F401 (all but the last register queries)
 from paperloom.plans.registry import QUERIES, SQL, query, rounded
 from paperloom.session import table
 from paperloom.sources import content
@@ -302,12 +302,12 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, d: str) -> DataFrame:
-    """The first five words of every benchmark item's first line, and the longest word of every item."""
-    b = table(spark, d, "benchmark")
-    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    longest = F.get(F.filter(words, lambda w: F.length(w) == F.array_max(F.transform(words, lambda v: F.length(v)))), 0)
-    five = b.select((F.col("item_id") * 2).alias("query_id"), F.array_join(F.slice(F.split(F.split("text", "\n")[0], " "), 1, 5), " ").alias("query"))
-    return five.union(b.select(F.col("item_id") * 2 + 1, longest))
+    """Every benchmark item's words by five, and the longest word of every item."""
+    b = table(spark, d, "benchmark").select("item_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
+    five = b.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(5))).alias("k"))
+    five = five.select((F.col("item_id") * 100_000 + F.col("k") / 5).cast("long").alias("query_id"), F.array_join(F.slice("w", F.col("k") + 1, F.lit(5)), " ").alias("query"))
+    longest = F.get(F.filter("w", lambda x: F.length(x) == F.array_max(F.transform("w", lambda v: F.length(v)))), 0)
+    return five.union(b.select(F.col("item_id") * 100_000 + 99_999, longest))
 
 
 @query("phrase_search", sql.PHRASE_SEARCH)
@@ -320,6 +320,13 @@ def phrase_snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.find_lines(views.lines(spark, d), _phrases(spark, d))
 
 
+@query("page_phrases", sql.PAGE_PHRASES)
+def page_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The same in whole documents as pages, where hits go on over line ends."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return search.find_pages(docs, _phrases(spark, d)).drop("page")
+
+
 @query("hit_boxes")
 def hit_boxes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.hit_boxes(views.runs(spark, d), "widget 1"), "x", "y", "width", "height")

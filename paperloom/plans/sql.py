@@ -155,15 +155,17 @@ c AS (SELECT image_id, level, sum(n) OVER u AS w0, sum(n * level) OVER u AS s0,
   WINDOW u AS (PARTITION BY image_id ORDER BY level ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY image_id)),
 v AS (SELECT image_id, level, CASE WHEN w > w0 THEN w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) ELSE 0 END AS b FROM c)
 SELECT image_id, level AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b DESC, level) = 1"""
-#: Searched phrases: the first five words of every benchmark item's first line, and the longest word of every item.
-QUERIES = """bench AS (SELECT item_id, string_split(string_split(text, chr(10))[1], ' ') AS five, string_split(replace(text, chr(10), ' '), ' ') AS words FROM benchmark),
-q AS (SELECT item_id * 2 AS query_id, lower(array_to_string(five[1:5], ' ')) AS needle FROM bench
-  UNION ALL SELECT item_id * 2 + 1, lower([w FOR w IN words IF length(w) = list_max([length(v) FOR v IN words])][1]) FROM bench)"""
+#: Searched phrases: the words of every benchmark item by five, and the longest word of every item.
+QUERIES = r"""b AS (SELECT item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+q AS (SELECT item_id * 100000 + k // 5 AS query_id, lower(array_to_string(w[k + 1 : k + 5], ' ')) AS needle FROM (SELECT item_id, w, unnest(range(0, len(w), 5)) AS k FROM b)
+  UNION ALL SELECT item_id * 100000 + 99999, lower(list_filter(w, lambda x: length(x) = list_max([length(v) FOR v IN w]))[1]) FROM b)"""
 HITS = f"""{LINES}, {QUERIES}, l AS (SELECT doc_id, seq, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM lines),
 h AS (SELECT query_id, doc_id, seq, text, string_split(text, needle) AS gaps, length(needle) AS n FROM l JOIN q ON contains(text, needle)),
 e AS (SELECT query_id, doc_id, seq, text, n, gaps, unnest(range(1, len(gaps))) AS k FROM h),
 hits AS (SELECT query_id, doc_id, seq, text, CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + (k - 1) * n AS INTEGER) AS start,
   CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + k * n AS INTEGER) AS "end" FROM e)"""
+PAGE_PHRASES = f"""WITH {HITS.replace("FROM lines)", "FROM (SELECT doc_id, 0 AS seq, text FROM documents))")}, c AS (SELECT *, greatest(start - 28, 0) AS lo, least("end" + 28, length(text)) AS hi FROM hits)
+SELECT query_id, doc_id, start, "end", CASE WHEN lo > 0 THEN '…' ELSE '' END || substring(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS snippet FROM c"""
 PHRASE_SEARCH = f"""WITH {HITS} SELECT query_id, doc_id, seq, start, "end" FROM hits"""
 PHRASE_SNIPPETS = f"""WITH {HITS}, c AS (SELECT *, greatest(start - 28, 0) AS lo, least("end" + 28, length(text)) AS hi FROM hits)
 SELECT query_id, doc_id, seq, start, "end", CASE WHEN lo > 0 THEN '…' ELSE '' END || substring(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS snippet FROM c"""
