@@ -9,7 +9,7 @@ from paperloom.functions import fonts as ff
 from paperloom.functions import geometry as g
 from paperloom.functions import text as t
 from paperloom.operators import drafts, glyphs, joins, layout, marks, numbers, pages, pixels, recognition, search, signing, views
-from paperloom.plans import edits, objects, rewrites, scalars, scans, sql  # noqa: F401 (all but the last register queries)
+from paperloom.plans import edits, members, objects, rewrites, scalars, scans, sql  # noqa: F401 (all but the last register queries)
 from paperloom.plans.registry import QUERIES, SQL, query, rounded
 from paperloom.session import table
 from paperloom.sources import content
