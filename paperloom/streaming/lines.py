@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +24,41 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
+TOTALS = "doc_id long, seq int, n long, actual double, claimed double"
+
+
+def _totals(d: pd.DataFrame, n: int, total: float) -> tuple[pd.DataFrame, int, float]:
+    """What a document's new lines claim wrongly, and its count and sum after them."""
+    is_total, figures, last = d["total"].to_numpy(), d["n"].to_numpy(), d["last"].to_numpy(dtype=float)
+    counts = ~is_total & (figures >= 2)
+    # Running sums over all lines; those at the total line before are taken off.
+    running_n, running = n + np.cumsum(counts), total + np.cumsum(np.where(counts, np.nan_to_num(last), 0.0))
+    ends = np.flatnonzero(is_total)
+    n_rows, sums = np.diff(np.concatenate(([0], running_n[ends]))), np.diff(np.concatenate(([0.0], running[ends])))
+    wrong = (n_rows >= 2) & (figures[ends] > 0) & (np.abs(sums - last[ends]) >= 0.005)
+    out = pd.DataFrame({"seq": d["seq"].to_numpy()[ends][wrong], "n": n_rows[wrong], "actual": sums[wrong], "claimed": last[ends][wrong]})
+    done_n, done = (running_n[ends[-1]], running[ends[-1]]) if len(ends) else (0, 0.0)
+    return out, int(running_n[-1] - done_n), float(running[-1] - done)
+
+
 def running_totals(lines: DataFrame) -> DataFrame:
     """lines(doc_id, seq, text), a stream in which a document's lines arrive in order: each total line that differs from the
-    sum of the rows since the last one. The state of a document is a count and a sum."""
+    sum of the rows since the last one. The state of a document is a count and a sum; it has none while no row waits for its
+    total."""
     nums = F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))
     rows = lines.select("doc_id", "seq", F.col("text").rlike(TOTAL).alias("total"), F.size(nums).alias("n"), number(F.try_element_at(nums, F.lit(-1))).alias("last"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if r.total:
-                if n >= 2 and r.n and abs(total - r.last) >= 0.005:
-                    out.append((key[0], r.seq, n, total, r.last))
-                n, total = 0, 0.0
-            elif r.n >= 2:
-                n, total = n + 1, total + r.last
-        state.update((n, total))
-        yield pd.DataFrame(out, columns=["doc_id", "seq", "n", "actual", "claimed"])
-
-    return rows.groupBy("doc_id").applyInPandasWithState(
-        step, "doc_id long, seq int, n long, actual double, claimed double", "n long, total double", "append", GroupStateTimeout.NoTimeout
-    )
+        out, n, total = _totals(pd.concat(list(batches)).sort_values("seq"), n, total)
+        if n:
+            state.update((n, total))
+        elif state.exists:
+            state.remove()
+        out.insert(0, "doc_id", key[0])
+        yield out
+
+    return rows.groupBy("doc_id").applyInPandasWithState(step, TOTALS, "n long, total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
