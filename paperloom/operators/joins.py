@@ -13,7 +13,8 @@ PAGE = ("doc_id", "page")
 
 
 def _bucketed(df: DataFrame, y: str, h: str, pad: float) -> DataFrame:
-    low, high = F.floor((F.col(y) - pad) / BUCKET).cast("int"), F.floor((F.col(y) + F.col(h) + pad) / BUCKET).cast("int")
+    ends = F.col(y), F.col(y) + F.col(h)  # a height may be negative
+    low, high = F.floor((F.least(*ends) - pad) / BUCKET).cast("int"), F.floor((F.greatest(*ends) + pad) / BUCKET).cast("int")
     return df.withColumn("bucket", F.explode(F.sequence(low, high))).withColumn("low", low)
 
 
