@@ -91,7 +91,7 @@ def clean_copy(spark: SparkSession, d: str) -> DataFrame:
 def garbled_lines(spark: SparkSession, d: str) -> DataFrame:
     """Share of blank or garbled lines by language."""
     docs = table(spark, d, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line"))
-    bad = (F.length(F.trim("line")) == 0) | (F.length("line") - F.length(F.replace("line", F.lit("\\"), F.lit(""))) >= 2)
+    bad = t.looks_garbled(F.col("line"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_bad"))
 
 

@@ -90,8 +90,9 @@ f AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '(' || p || ')' WHEN 1 TH
 SELECT c_custkey, text, {amount('text', False)} AS amount, {amount('text', True)} AS money FROM f"""
 MATCH_KEYS = """WITH k AS (SELECT p_partkey, trim(regexp_replace(p_type || '  - ' || p_brand || ' 1,234', '\\s+', ' ', 'g')) AS key FROM part)
 SELECT p_partkey, key, regexp_replace(key, '(\\d)[, ](\\d{3})$', '\\1\\2') AS loose, regexp_replace(key, '\\s*-\\s*', '-', 'g') AS soft FROM k"""
-GARBLED_LINES = """WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT lang, count(*) AS n, count(*) FILTER (WHERE length(trim(line)) = 0 OR length(line) - length(replace(line, '\\', '')) >= 2) AS n_bad FROM l GROUP BY lang"""
+GARBLED_LINES = r"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT lang, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM l)
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE length(t) = 0 OR length(t) - length(replace(t, '\', '')) >= 2 OR regexp_matches(t, '\\[A-Za-z]')
+  OR length(regexp_replace(t, '[^\x20-\x7E\t\x{A0}-\x{10FFFF}]', '', 'g')) < length(t) * 0.8::DOUBLE) AS n_bad FROM t GROUP BY lang"""
 PAGE_RANGES = """WITH s AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 + 1 AS a, o_orderkey % 7 + 3 AS b, o_orderkey % 11 + 1 AS c FROM orders),
 r AS (SELECT *, CASE WHEN a <= b AND b <= 10 AND c <= 10 THEN list_concat(range(a, b + 1), CASE WHEN c BETWEEN a AND b THEN []::BIGINT[] ELSE [c] END) END AS p FROM s)
 SELECT doc_id, a || '-' || b || ', ' || c AS spec, coalesce(array_to_string(p, ','), 'error') AS pages FROM r"""
