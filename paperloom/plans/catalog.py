@@ -327,7 +327,7 @@ def page_phrases(spark: SparkSession, d: str) -> DataFrame:
     return search.find_pages(docs, _phrases(spark, d)).drop("page")
 
 
-@query("hit_boxes")
+@query("hit_boxes", sql.HIT_BOXES)
 def hit_boxes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.hit_boxes(views.runs(spark, d), "widget 1"), "x", "y", "width", "height")
 

@@ -167,6 +167,13 @@ hits AS (SELECT query_id, doc_id, seq, text, CAST(list_sum([length(g) FOR g IN g
   CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + k * n AS INTEGER) AS "end" FROM e)"""
 PAGE_PHRASES = f"""WITH {HITS.replace("FROM lines)", "FROM (SELECT doc_id, 0 AS seq, text FROM documents))")}, c AS (SELECT *, greatest(start - 28, 0) AS lo, least("end" + 28, length(text)) AS hi FROM hits)
 SELECT query_id, doc_id, start, "end", CASE WHEN lo > 0 THEN '…' ELSE '' END || substring(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS snippet FROM c"""
+HIT_BOXES = f"""WITH {RUNS}, r AS (SELECT *, CAST(sum(length(text) + 1) OVER (PARTITION BY doc_id, line ORDER BY x, ord) - length(text) - 1 AS INTEGER) AS b FROM runs),
+l AS (SELECT doc_id, line, string_split(lower(string_agg(text, ' ' ORDER BY x, ord)), 'widget 1') AS gaps FROM runs GROUP BY doc_id, line),
+e AS (SELECT doc_id, line, gaps, unnest(range(1, len(gaps))) AS k FROM l WHERE len(gaps) > 1),
+h AS (SELECT doc_id, line, CAST(list_sum([length(g) FOR g IN gaps[1:k]]) + (k - 1) * 8 AS INTEGER) AS start FROM e)
+SELECT h.doc_id, 1 AS page, h.line, start, round(x + greatest(start - b, 0) * (width / length(text)) - 1.6, 6) AS x, round(y - 1.6, 6) AS y,
+  round((least(start + 8 - b, length(text)) - greatest(start - b, 0)) * (width / length(text)) + 3.2, 6) AS width, round(height + 3.2, 6) AS height
+FROM h JOIN r USING (doc_id, line) WHERE greatest(start - b, 0) < least(start + 8 - b, length(text))"""
 PHRASE_SEARCH = f"""WITH {HITS} SELECT query_id, doc_id, seq, start, "end" FROM hits"""
 PHRASE_SNIPPETS = f"""WITH {HITS}, c AS (SELECT *, greatest(start - 28, 0) AS lo, least("end" + 28, length(text)) AS hi FROM hits)
 SELECT query_id, doc_id, seq, start, "end", CASE WHEN lo > 0 THEN '…' ELSE '' END || substring(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS snippet FROM c"""
