@@ -425,7 +425,7 @@ def fill_form(spark: SparkSession, d: str) -> DataFrame:
     return marks.fill_form(fields, values)
 
 
-@query("signature_sidecar")
+@query("signature_sidecar", sql.SIDECAR)
 def signature_sidecar(spark: SparkSession, d: str) -> DataFrame:
     f = views.sign_fields(spark, d)
     return marks.sidecar(signing.signer_status(f), f)

@@ -145,6 +145,10 @@ SELECT packet, signer, stage, required, filled, required = filled AS complete,
   NOT EXISTS (SELECT 1 FROM s o WHERE o.packet = s.packet AND o.stage < s.stage AND o.required <> o.filled) AS unlocked FROM s"""
 NEXT_SIGNER = f"""WITH {SIGN}, s AS (SELECT packet, signer, stage, count(*) FILTER (WHERE required) = count(*) FILTER (WHERE required AND filled) AS complete FROM sign GROUP BY packet, signer, stage)
 SELECT packet, stage, signer FROM s WHERE NOT complete QUALIFY row_number() OVER (PARTITION BY packet ORDER BY stage, signer) = 1"""
+SIDECAR = f"""WITH {SIGN}, s AS (SELECT packet, signer, stage, count(*) FILTER (WHERE required) AS n, count(*) FILTER (WHERE required AND filled) AS done,
+  string_agg('{{"field":' || field || ',"required":' || required || ',"filled":' || filled || '}}', ',' ORDER BY field, required, filled) AS fields FROM sign GROUP BY packet, signer, stage),
+u AS (SELECT *, NOT EXISTS (SELECT 1 FROM s o WHERE o.packet = s.packet AND o.stage < s.stage AND o.n <> o.done) AS unlocked FROM s)
+SELECT packet, '[' || string_agg('{{"stage":' || stage || ',"signer":' || signer || ',"complete":' || (n = done) || ',"unlocked":' || unlocked || ',"fields":[' || fields || ']}}', ',' ORDER BY stage, signer) || ']' AS signers FROM u GROUP BY packet"""
 UNCERTAIN_WORDS = f"WITH {WORDS} SELECT doc_id, page, count(*) AS n, min(confidence) AS least FROM words WHERE confidence < 72 GROUP BY doc_id, page"
 VERIFY_GATE = f"""WITH {WORDS} SELECT doc_id, page, count(*) FILTER (WHERE confidence < 72 AND NOT (ord % 2 = 0 OR page = 0)) AS pending,
   count(*) FILTER (WHERE confidence < 72 AND NOT (ord % 2 = 0 OR page = 0)) > 0 AS blocked FROM words GROUP BY doc_id, page"""
