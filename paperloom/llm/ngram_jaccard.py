@@ -6,13 +6,14 @@
 2. Documents with equal sets become one class; everything below works on classes.
 3. Candidates: with shingles ordered from rare to common, two sets that are 0.8 alike share one of their first
    n - ceil(0.8 n) + 1 (prefix filter). Classes that share such a shingle are joined into candidate components.
-4. Blocked product: candidate components are cut into blocks; for each pair of blocks of a component the sparse incidence
-   matrices are multiplied, overlap counts accumulate, and pairs below 0.8 * (|A| + |B|) / 1.8 are discarded. What leaves
-   a block is the number of links of each class and a spanning forest, never the pairs.
+4. Blocked product: candidate components are cut into blocks; for each pair of blocks of a component whose sizes allow a link
+   the sparse incidence matrices are multiplied, overlap counts accumulate, and pairs below 0.8 * (|A| + |B|) / 1.8 are
+   discarded. What leaves a block is the number of links of each class and a spanning forest, never the pairs.
 
 A frequent shingle is sent once a batch, copies are counted before they are sent on, and large components are spread over
-block pairs, so no key gathers a share of the rows. Hashes have 40 bits and the bucket number; they are compared within
-candidate components only.
+block pairs, so no key gathers a share of the rows. Exact but for hash collisions: hashes have 40 bits and the bucket number
+(4 bits at least, 18 at most) and are compared within pairs of blocks of a candidate component, so two documents of 10,000
+shingles each share one by chance with a probability of 10^8 / 2^44, or 6 in a million.
 
 Nulls: a null or wordless text has an empty set and no link; its component is itself. Rows that repeat are copies of each
 other. Long texts make batches of their own; extra columns are dropped.
@@ -20,11 +21,12 @@ other. Long texts make batches of their own; extra columns are dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut, pieces, utf8
@@ -40,6 +42,8 @@ BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS, MOST_BUCKETS, MOST_PARTITIONS = 16, 1 << 18, 20_000
 #: Weight of a block of the product: a class weighs 1, and 1 more for every UNIT shingles of its set.
 BLOCK, UNIT = 1024, 1024
+#: Levels of set size: more than 100 / PERCENT, so sets that are 0.8 alike lie on one level or on neighbours.
+STEP = 1.26
 #: Shingles of all classes for which one shard of prefix entries is made (a fifth of them at most are in prefixes).
 SHARD_SHINGLES = 1 << 21
 #: Shingles held by more classes of a block than this are multiplied densely.
@@ -358,6 +362,32 @@ def _product(table: pa.Table) -> pa.Table:
     return pa.table({"cls": cls, "links": links, "near": cls[label]})
 
 
+def blocked(nodes: DataFrame, bins: int) -> DataFrame:
+    """nodes(node, component, n, weight) -> cls, part, block, others: the block of each class, and the blocks of the same part that it
+    must meet (itself included). Components of at most BLOCK are one block, several to a part. A larger one is cut by levels of
+    set size: sets of which one is over STEP times the other can't be 0.8 alike, so blocks meet those of their own level and
+    of the next ones only, and the rest of the product is never formed."""
+    nodes = nodes.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(STEP))).cast("long"))
+    levels = cut(nodes.groupBy("component", "level").agg(F.sum("weight").alias("held")))
+    sizes = levels.groupBy("component").agg(F.sum("held").alias("size"))
+    large = levels.join(sizes.where(F.col("size") > BLOCK), "component").select("component", "level", F.ceil(F.col("held") / BLOCK).alias("blocks"))
+    # The numbers of blocks of a level and of both its neighbours; levels of a component are few.
+    around = Window.partitionBy("component").orderBy("level")
+    near = lambda f, d: F.when(f("level").over(around) == F.col("level") + d, f("blocks").over(around)).otherwise(0).cast("long")
+    large = large.select("component", "level", "blocks", near(F.lag, -1).alias("before"), near(F.lead, 1).alias("behind"))
+    d = nodes.join(sizes, "component").join(large, ["component", "level"], "left")
+    whole = F.col("blocks").isNull()
+    within = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).cast("long")
+    name = lambda level, k: level * (1 << 32) + k
+    ids = lambda d, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: name(F.col("level") + d, k))).otherwise(F.array().cast("array<long>"))
+    others = F.concat(ids(-1, F.col("before")), ids(0, F.col("blocks")), ids(1, F.col("behind")))
+    zero = F.lit(0).cast("long")
+    return d.select(
+        F.col("node").alias("cls"), F.when(whole, -1 - F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("part"),
+        F.when(whole, zero).otherwise(name(F.col("level"), within)).alias("block"), F.when(whole, F.array(zero)).otherwise(others).alias("others"),
+    )
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row of docs(doc_id, text)."""
     found = cut(document_sets(docs))
@@ -371,22 +401,12 @@ def join(docs: DataFrame) -> DataFrame:
     stars = packed.where("shard >= 0").repartition(min(shards, MOST_PARTITIONS), "shard").groupBy("shard").applyInArrow(_stars, "a long, b long")
     own = packed.where("shard < 0").select("left", "right").mapInArrow(_unpacked, "a long, b long")
     candidate = components(stars.union(own))
-    weighed = candidate.join(classes.select(F.col("cls").alias("node"), weight.alias("weight")), "node")
-    sizes = weighed.groupBy("component").agg(F.sum("weight").alias("size"))
-    nodes = candidate.join(sizes, "component")
-    whole = F.col("size") <= BLOCK
-    bins = F.lit(max(1, (total or 0) // BLOCK))
-    nodes = nodes.select(
-        F.col("node").alias("cls"), F.when(whole, -1 - F.pmod(F.xxhash64("component"), bins)).otherwise(F.col("component")).alias("part"),
-        F.when(whole, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int").alias("blocks"),
-    ).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    nodes = blocked(candidate.join(classes.select(F.col("cls").alias("node"), "n", weight.alias("weight")), "node"), max(1, (total or 0) // BLOCK))
     rows = classes.select("cls", "n", "copies", "keys").join(nodes, "cls")
-    blocks = rows.groupBy("part", "block", "blocks").agg(F.collect_list(F.struct("cls", "n", "copies", "keys")).alias("rows"))
-    blocks = blocks.select("part", "block", "blocks", *[F.col(f"rows.{c}").alias(c) for c in ("cls", "n", "copies", "keys")])
-    paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select(
-        "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").cast("long").alias("side"), "cls", "n", "copies", "keys"
-    )
+    blocks = rows.groupBy("part", "block", "others").agg(F.collect_list(F.struct("cls", "n", "copies", "keys")).alias("rows"))
+    blocks = blocks.select("part", "block", "others", *[F.col(f"rows.{c}").alias(c) for c in ("cls", "n", "copies", "keys")])
+    paired = blocks.withColumn("other", F.explode("others"))
+    paired = paired.select("part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block").alias("side"), "cls", "n", "copies", "keys")
     out = cut(paired.groupBy("part", "low", "high").applyInArrow(_product, "cls long, links long, near long"))
     links = out.groupBy("cls").agg(F.sum("links").alias("links"))
     linked = components(out.where("near != cls").select(F.col("cls").alias("a"), F.col("near").alias("b"))).withColumnsRenamed({"node": "cls"})

@@ -459,3 +459,27 @@ def test_clusters_without_a_shared_folder_are_refused():
 
     with pytest.raises(RuntimeError):
         common.shared_folder(Session)
+
+
+def test_blocks_meet_only_where_sizes_allow_a_link(spark):
+    """A component of 20 blocks on five levels of size: each block meets those of its own level and of the next ones."""
+    r = random.Random(2)
+    rows = [(k, 0, n, 1) for k, n in enumerate(10 * 2**level for level in range(5) for _ in range(4 * 1024))]
+    rows += [(100_000 + k, 100_000, 50, 1) for k in range(30)]
+    df = spark.createDataFrame(rows, "node long, component long, n long, weight long")
+    got = ngram_jaccard.blocked(df, 3)
+    blocks = {(x.part, x.block): set(x.others) for x in got.select("part", "block", "others").distinct().collect()}
+    large = {b: o for (p, b), o in blocks.items() if p == 0}
+    assert len(large) == 20 and all(b in o for b, o in large.items())
+    assert all(b in large[c] for b, o in large.items() for c in o)  # both sides know of each other
+    assert {len(o) for o in large.values()} == {4}  # levels a factor of two apart don't meet: 4 of 20
+    assert len({x.part for x in got.where("cls >= 100000").collect()}) == 1
+    sizes = {(x.part, x.block): [] for x in got.collect()}
+    for x in got.join(df.withColumnRenamed("node", "cls"), "cls").collect():
+        sizes[x.part, x.block].append(x.n)
+    for a, o in large.items():
+        for b in set(large) - o:
+            assert max(sizes[0, a]) < 0.8 * min(sizes[0, b]) or max(sizes[0, b]) < 0.8 * min(sizes[0, a])
+    near = spark.createDataFrame([(k, 0, 100 + k % 60, 1) for k in range(5000)], "node long, component long, n long, weight long")
+    got = {x.block: (x.others, x.n) for x in ngram_jaccard.blocked(near, 1).groupBy("block").agg(F.first("others").alias("others"), F.count("*").alias("n")).collect()}
+    assert len({b >> 32 for b in got}) == 3 and all(set(o) <= set(got) for o, _ in got.values())
