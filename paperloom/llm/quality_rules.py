@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import SPACES, WORD, cut, fresh
+from paperloom.llm.common import SPACES, WORD, fresh
 
 SYMBOLS = r"[#*$%&|<>]"
 # Notices found at the foot or head of web pages in four languages, as words of their own, and the words of
@@ -150,11 +150,14 @@ def report(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
 
 
 def clean(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
-    """The kept documents without their failing lines; same columns (n_chars follows the text where there is one). Verdicts
-    are written with the cleaned texts before they are filtered by, so each text is judged once."""
+    """The kept documents without their failing lines; same columns (n_chars follows the text where there is one). A rejected
+    document is an empty array that is exploded to no row: a filter by the verdict would be moved below, and texts judged
+    twice."""
     at = fresh(docs, "_rules")
     left = F.array_join(F.transform(F.filter(f"{at}_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    out = judge(docs, most_lost, at).withColumn("text", left).withColumn(f"{at}_kept", F.col(f"{at}.kept")).drop(at, f"{at}_lines")
+    left = F.when(F.col("text").isNotNull(), left)
+    kept = F.explode(F.when(F.col(f"{at}.kept"), F.array(left)).otherwise(F.array().cast("array<string>"))).alias(f"{at}_left")
+    out = judge(docs, most_lost, at).select(*[F.col(c) for c in docs.columns if c != "text"], kept).withColumnRenamed(f"{at}_left", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut(out).where(f"{at}_kept").select(*docs.columns)
+    return out.select(*docs.columns)

@@ -86,3 +86,21 @@ def test_stages(spark, corpus):
 def test_stage_names_and_oracle():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "mixing"]
     assert corpus_pipeline.ORACLE_SQL is None and decontamination.WINDOW == 10
+
+
+def test_empty_tables(spark, corpus, tmp_path):
+    d, _, _ = corpus
+    docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    for name, documents, benchmark in (("a", docs.limit(0), bench.limit(0)), ("b", docs.limit(0), bench), ("c", docs, bench.limit(0))):
+        documents.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        benchmark.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(got) == (name == "c") and all(r.text for r in got)
+
+
+def test_a_long_line_of_links_costs_no_executor(spark, tmp_path):
+    prose = " ".join(f"word{k} went to text{k}" for k in range(40)) + "."
+    texts = [(1, "home " * 100_000 + "\n" + prose, "en", "s", 1), (2, prose + "\n" + "next » " * 5, "en", "s", 1)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [(2, prose)]
