@@ -64,7 +64,8 @@ def targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)
     left, parts = total, None
     while True:
         # A source is capped if its share at the present level is above its cap; a level only rises, so caps stay.
-        capped = F.lit(False) if parts is None else F.col("weight") * F.lit(left) >= F.col("source_size") * F.lit(cap) * F.lit(parts)
+        # Sizes are longs throughout: a weight times all words of a few GB is beyond an int.
+        capped = F.lit(False) if parts is None else F.col("weight").cast("long") * F.lit(left) >= F.col("source_size") * F.lit(cap) * F.lit(parts)
         held, free = rows.agg(
             F.sum(F.when(capped, F.col("source_size") * cap)), F.sum(F.when(~capped, F.col("weight").cast("long")))
         ).first()

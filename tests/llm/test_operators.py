@@ -414,3 +414,9 @@ def test_chat_stretches_agree_with_one_pass(spark):
         for role in re.findall(r"<\|im_start\|>(\w+)", text):
             assert chat.ROLES[role] in chat.LEGAL[state]
             state = chat.ROLES[role]
+
+
+def test_targets_of_more_words_than_an_int_holds(spark):
+    sizes = spark.createDataFrame([("a", 10**9), ("b", 2 * 10**8), ("c", 9 * 10**8)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert got == {"a": 3.75e8, "b": 6e8, "c": 1.125e9}
