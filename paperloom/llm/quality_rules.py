@@ -97,6 +97,7 @@ def judged_lines(text: Column) -> Column:
             words = F.size(F.split(F.trim(line), f"{SPACES}+"))
             symbols = count_of(line, SYMBOLS)
             marks = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
+            # So many capitals are asked for first, as hardly a line has them: what the rest names is counted anew each time.
             letters, upper = count_of(line, r"\p{L}"), count_of(line, r"\p{Lu}")
             fails = word & (
                 dup
@@ -105,7 +106,7 @@ def judged_lines(text: Column) -> Column:
                 | line.rlike(NAVIGATION)
                 | ((marks >= 3) & (marks >= 0.3 * words))
                 | (count_of(line, CODE) > MOST_CODE * F.length(line))
-                | ((letters >= SHOUT_LETTERS) & (upper > MOST_UPPER * letters))
+                | ((upper > MOST_UPPER * SHOUT_LETTERS) & (letters >= SHOUT_LETTERS) & (upper > MOST_UPPER * letters))
                 | (line.rlike(BOILERPLATE) & ((words <= NOTICE_WORDS) | (2 * unnoticed(line) <= words)))
             )
             return F.struct(x["i"].alias("i"), line.alias("line"), word.alias("word"), dup.alias("dup"), fails.alias("fails"))

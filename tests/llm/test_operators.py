@@ -420,3 +420,11 @@ def test_targets_of_more_words_than_an_int_holds(spark):
     sizes = spark.createDataFrame([("a", 10**9), ("b", 2 * 10**8), ("c", 9 * 10**8)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     assert got == {"a": 3.75e8, "b": 6e8, "c": 1.125e9}
+
+
+def test_quality_shouting_lines(spark):
+    """Twenty letters, more than four fifths of them capitals; both bounds are exact."""
+    lines = ["A" * 17 + "b" * 3, "A" * 16 + "b" * 4, "A" * 19, "A" * 20]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    judged = quality_rules.judge(df).first()["_rules_lines"]
+    assert [x.fails for x in judged] == [True, False, False, True]
