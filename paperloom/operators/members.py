@@ -47,7 +47,7 @@ def split_by_shows(lines: DataFrame, shows: DataFrame) -> DataFrame:
     hits = at.join(s, ["doc_id", "page", "band"]).where((shared > F.least("s_w", "width") * 0.2) & (F.abs(F.col("s_y") - F.col("stream_y")) <= F.greatest(F.lit(3.0), F.col("font_size") * 0.5)))
     runs = hits.select(*LINE, "ord", "text", F.col("s_x").alias("x"), F.col("s_y").alias("y"), F.col("s_w").alias("width"), F.col("s_size").alias("font_size"), F.col("font_size").alias("own"))
     cols = columns_of_lines(runs).groupBy(*LINE, "column").agg(
-        F.array_sort(F.collect_list(F.struct("x", "ord", "text"))).alias("t"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.min("y").alias("y"),
+        F.sort_array(F.collect_list(F.struct("x", "ord", "text"))).alias("t"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.min("y").alias("y"),
         F.greatest(F.max("font_size"), F.max("own")).alias("font_size"), F.count(F.lit(1)).alias("n"),
     )
     line = Window.partitionBy(*LINE)
@@ -69,8 +69,8 @@ def dealt(runs: DataFrame, drafts: DataFrame) -> DataFrame:
     """runs(doc_id, page, line, ord, text, x, width, font_size) and drafts(doc_id, page, line, draft) -> doc_id, page, line, ord, column, draft:
     a line's draft dealt onto its columns, amounts from the right, and each column's part on to its runs by their words."""
     r = columns_of_lines(runs)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda t: t["text"]), " ")
-    cols = r.groupBy(*LINE, "column").agg(joined.alias("text")).groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("column", "text"))).alias("c"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "ord", "text"))), lambda t: t["text"]), " ")
+    cols = r.groupBy(*LINE, "column").agg(joined.alias("text")).groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("column", "text"))).alias("c"))
     parts = cols.join(drafts.select(*LINE, "draft"), [*LINE]).select(*LINE, F.posexplode(across_columns(F.transform("c", lambda c: c["text"]), F.col("draft"))).alias("column", "draft"))
     place = F.row_number().over(Window.partitionBy(*LINE, "column").orderBy("x", "ord"))
     ordered = r.select(*LINE, "column", F.col("ord").alias("own"), "text", place.alias("ord"))
@@ -125,7 +125,7 @@ def selection_rows(runs: DataFrame, by: tuple[str, ...] = ("doc_id", "page", "se
     """Rows of each selection's runs, from the top: by, row, text, x, y, width, height, font_size, n_runs. Blank runs don't count;
     heights cover the largest type."""
     banded = visual_bands(runs.where(F.trim("text") != ""), by)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda r: r["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "ord", "text"))), lambda r: r["text"]), " ")
     g = banded.groupBy(*by, F.col("band").alias("row")).agg(
         F.trim(F.regexp_replace(text, r"[ \t]+", " ")).alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"),
         F.max(F.col("y") + F.col("height")).alias("top"), F.max("font_size").alias("font_size"), F.count(F.lit(1)).alias("n_runs"),

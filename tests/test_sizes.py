@@ -18,3 +18,27 @@ def test_items_are_dealt_out_by_their_number(spark, few_rows):
     n = views.order_items(spark, SF).count()
     most = views.order_items(spark, SF).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert n > 4 * 500 and most < 2 * 500
+
+
+def test_amounts_are_told_as_before(spark):
+    """One look at a text says what the compact form said."""
+    from paperloom.functions import text as t
+
+    def told(text, pattern):
+        c = t.compact_money(text)
+        inner = F.substring(c, F.lit(2), F.length(c) - 2)
+        wrapped = c.startswith("(") & c.endswith(")") & (F.length(c) > 2)
+        return c.rlike(r"\d") & F.when(wrapped, ~inner.rlike(r"[()]") & inner.rlike(pattern)).otherwise(~c.rlike(r"[()]") & c.rlike(pattern))
+
+    odd = ["", " ", "12", "1,2.5%", "-$5.00", "$-5", "(1.00)", "( 1 .0 0)", "(1", "1)", "()", "(-)", "-", ",", "5-", "5%-", "12\n", "12\u0085", "(12\u0085)", "1 2", "−5.00", "5—", "1 2.50", "a1", "1a", "x", "٣", "1.2.3", "﻿7", "1 3"]
+    d = spark.createDataFrame([(x,) for x in [*odd, None]], "x string").select("x", *[f(F.col("x")).alias(n) for n, f in (("a", t.looks_like_amount), ("m", t.looks_like_money))], told(F.col("x"), t.AMOUNT).alias("wa"), told(F.col("x"), t.MONEY).alias("wm"))
+    assert all((r.a, r.m) == (r.wa, r.wm) for r in d.collect())
+
+
+def test_runs_are_looked_at_once(spark):
+    """Whether a run is an amount isn't asked again for its neighbour."""
+    from paperloom.operators import layout
+
+    r = spark.createDataFrame([(1, 1, 1, 0, 5.0, 9.0, 9.0, "a")], "doc_id long, page int, line int, ord int, x double, width double, font_size double, text string")
+    plan = layout.columns_of_lines(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 16
