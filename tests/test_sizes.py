@@ -42,3 +42,20 @@ def test_runs_are_looked_at_once(spark):
     r = spark.createDataFrame([(1, 1, 1, 0, 5.0, 9.0, 9.0, "a")], "doc_id long, page int, line int, ord int, x double, width double, font_size double, text string")
     plan = layout.columns_of_lines(r)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= 16
+
+
+def test_pages_without_hits_stay_items(spark):
+    """Pages are walked through in batches, not one group each, and a hit's boxes are those of its glyphs."""
+    from paperloom.operators import glyphs
+
+    rows = [(p, 1, k, text, 50.0 * k, 700.0, 45.0, 9.0, k == 2) for p in range(40) for k, text in enumerate(("Big wid", "get  é", None if p % 2 else "İx"))]
+    items = spark.createDataFrame(rows, "doc_id long, page int, ord int, text string, x double, y double, width double, height double, has_eol boolean")
+    hits = glyphs.find_hits(items, "widget")
+    assert "FlatMapGroups" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    found = hits.collect()
+    assert len(found) == 40 and {(r.first, r.last, r.matched) for r in found} == {(4, 9, "widget")}
+    g = [r for r in glyphs.glyphs(items.where("doc_id = 0")).orderBy("ord", "k").collect()][4:10]
+    box = found[0].rects[0]
+    assert (box.x, box.y, box.width) == (min(r.x for r in g), min(r.y for r in g), max(r.x + r.width for r in g) - min(r.x for r in g))
+    kept = {(r.doc_id, r.ord): r.kept for r in glyphs.kept_text(items, glyphs.erase_marks(hits.where("doc_id = 0"))).collect()}
+    assert len(kept) == 120 and [kept[1, k] for k in range(3)] == ["Big wid", "get  é", ""] and "wid" not in kept[0, 0] and kept[0, 2] == "İx"
