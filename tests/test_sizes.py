@@ -59,3 +59,14 @@ def test_pages_without_hits_stay_items(spark):
     assert (box.x, box.y, box.width) == (min(r.x for r in g), min(r.y for r in g), max(r.x + r.width for r in g) - min(r.x for r in g))
     kept = {(r.doc_id, r.ord): r.kept for r in glyphs.kept_text(items, glyphs.erase_marks(hits.where("doc_id = 0"))).collect()}
     assert len(kept) == 120 and [kept[1, k] for k in range(3)] == ["Big wid", "get  é", ""] and "wid" not in kept[0, 0] and kept[0, 2] == "İx"
+
+
+def test_drafts_are_looked_up_where_they_lie(spark):
+    """Only shows become glyphs, once for each of their characters; drafts stay whole."""
+    from paperloom.sources import rewriting
+
+    shows = spark.createDataFrame([(1, 1, 0, "F", "aba", bytearray(b"xyz")), (1, 1, 1, "F", "ba", bytearray(b"pq")), (1, 1, 2, "G", "a", bytearray(b"\x00a"))], "doc_id long, page int, ord int, font string, text string, bytes binary")
+    drafts = spark.createDataFrame([(1, 1, 0, "a b"), (1, 1, 1, "ac"), (1, 1, 2, "a a"), (1, 1, 3, "a")], "doc_id long, page int, ord int, draft string")
+    codes = rewriting.reused_codes(shows, drafts)
+    assert codes._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert {r.ord: r.codes for r in codes.collect()} == {0: "712070", 1: None, 2: "006100200061", 3: None}
