@@ -70,3 +70,16 @@ def test_drafts_are_looked_up_where_they_lie(spark):
     codes = rewriting.reused_codes(shows, drafts)
     assert codes._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
     assert {r.ord: r.codes for r in codes.collect()} == {0: "712070", 1: None, 2: "006100200061", 3: None}
+
+
+def test_edges_at_half_the_greatest_are_hot():
+    """Gradients of (63, 101) are just half as long as those of (6, 238)."""
+    import numpy as np
+
+    from paperloom.operators import sheets
+
+    image = np.zeros((8, 8), int)
+    image[0, 2], image[1, 2], image[0, 1] = 1, 31, 50
+    image[5, 6], image[6, 7] = 119, 3
+    e = sheets.sobel(image)
+    assert e[1, 1] ** 2 == pytest.approx(63**2 + 101**2) and e.max() == e[6, 6] and e[1, 1] >= e.max() / 2
