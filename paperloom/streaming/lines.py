@@ -27,38 +27,51 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours
 TOTALS = "doc_id long, seq int, n long, actual double, claimed double"
 
 
-def _totals(d: pd.DataFrame, n: int, total: float) -> tuple[pd.DataFrame, int, float]:
-    """What a document's new lines claim wrongly, and its count and sum after them."""
-    is_total, figures, last = d["total"].to_numpy(), d["n"].to_numpy(), d["last"].to_numpy(dtype=float)
+#: Documents of one state. A call of Python for each document would cost more than its lines.
+BUCKETS = 4096
+WAITING = "doc_id array<long>, n array<long>, total array<double>"
+
+
+def _totals(d: pd.DataFrame, waiting: dict[int, tuple[int, float]]) -> pd.DataFrame:
+    """What new lines of documents, in order, claim wrongly. waiting(doc_id: count and sum of rows without a total) is brought up to date."""
+    doc, is_total, figures, last = d["doc_id"].to_numpy(), d["total"].to_numpy(), d["n"].to_numpy(), d["last"].to_numpy(dtype=float)
+    # Stretches of lines up to a total or to a document's end; the first of a document goes on from what waits.
+    fresh = np.concatenate(([True], doc[1:] != doc[:-1]))
+    begins = np.flatnonzero(fresh | np.concatenate(([True], is_total[:-1])))
+    ends = np.concatenate((begins[1:], [len(doc)])) - 1
     counts = ~is_total & (figures >= 2)
-    # Running sums over all lines; those at the total line before are taken off.
-    running_n, running = n + np.cumsum(counts), total + np.cumsum(np.where(counts, np.nan_to_num(last), 0.0))
-    ends = np.flatnonzero(is_total)
-    n_rows, sums = np.diff(np.concatenate(([0], running_n[ends]))), np.diff(np.concatenate(([0.0], running[ends])))
-    wrong = (n_rows >= 2) & (figures[ends] > 0) & (np.abs(sums - last[ends]) >= 0.005)
-    out = pd.DataFrame({"seq": d["seq"].to_numpy()[ends][wrong], "n": n_rows[wrong], "actual": sums[wrong], "claimed": last[ends][wrong]})
-    done_n, done = (running_n[ends[-1]], running[ends[-1]]) if len(ends) else (0, 0.0)
-    return out, int(running_n[-1] - done_n), float(running[-1] - done)
+    n, sums = np.add.reduceat(counts.astype(np.int64), begins), np.add.reduceat(np.where(counts, np.nan_to_num(last), 0.0), begins)
+    for k in np.flatnonzero(fresh[begins]):
+        before = waiting.pop(int(doc[begins[k]]), None)
+        if before:
+            n[k], sums[k] = n[k] + before[0], sums[k] + before[1]
+    for k in np.flatnonzero(~is_total[ends] & (n > 0)):
+        waiting[int(doc[ends[k]])] = int(n[k]), float(sums[k])
+    wrong = is_total[ends] & (n >= 2) & (figures[ends] > 0) & (np.abs(sums - last[ends]) >= 0.005)
+    at = ends[wrong]
+    return pd.DataFrame({"doc_id": doc[at], "seq": d["seq"].to_numpy()[at], "n": n[wrong], "actual": sums[wrong], "claimed": last[at]})
 
 
 def running_totals(lines: DataFrame) -> DataFrame:
     """lines(doc_id, seq, text), a stream in which a document's lines arrive in order: each total line that differs from the
-    sum of the rows since the last one. The state of a document is a count and a sum; it has none while no row waits for its
-    total."""
-    nums = F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))
-    rows = lines.select("doc_id", "seq", F.col("text").rlike(TOTAL).alias("total"), F.size(nums).alias("n"), number(F.try_element_at(nums, F.lit(-1))).alias("last"))
+    sum of the rows since the last one. What a document waits with is a count and a sum, and nothing while no row waits for its
+    total. Documents are dealt into BUCKETS, whose states hold those that wait."""
+    text = F.coalesce("text", F.lit(""))
+    nums = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    # Lines without a document are a document of their own; pandas would make its neighbours' numbers floats.
+    rows = lines.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "seq", text.rlike(TOTAL).alias("total"), F.size(nums).alias("n"), number(F.try_element_at(nums, F.lit(-1))).alias("last"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total = state.get if state.exists else (0, 0.0)
-        out, n, total = _totals(pd.concat(list(batches)).sort_values("seq"), n, total)
-        if n:
-            state.update((n, total))
+        waiting = {doc: (n, total) for doc, n, total in zip(*state.get)} if state.exists else {}
+        out = _totals(pd.concat(list(batches)).sort_values(["doc_id", "seq"]), waiting)
+        if waiting:
+            state.update((list(waiting), [n for n, _ in waiting.values()], [total for _, total in waiting.values()]))
         elif state.exists:
             state.remove()
-        out.insert(0, "doc_id", key[0])
-        yield out
+        yield out if key[1] else out.assign(doc_id=pd.array([None] * len(out), "Int64"))
 
-    return rows.groupBy("doc_id").applyInPandasWithState(step, TOTALS, "n long, total double", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("bucket", F.pmod(F.hash("doc_id"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket", "known").applyInPandasWithState(step, TOTALS, WAITING, "append", GroupStateTimeout.NoTimeout)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

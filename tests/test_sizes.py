@@ -99,3 +99,20 @@ def test_events_count_in_the_hours_of_the_sql(spark, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["event_windows"](spark, str(tmp_path)).collect()]
     want = [(r[0], r[1], r[2], float(r[3])) for r in db.sql(catalog.SQL["event_windows"]).fetchall()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_documents_share_states(spark, tmp_path, monkeypatch):
+    """Totals of many documents over three triggers, their states in two buckets; lines without a text or a document are no stumbling block."""
+    from paperloom.streaming import lines as stream
+
+    monkeypatch.setattr(stream, "BUCKETS", 2)
+    schema, docs = "doc_id long, seq int, text string", [*range(2**60, 2**60 + 40), None]
+    for k in range(3):
+        new = [(d, 10 * k + j, text) for d in docs for j, text in enumerate([f"row {k} 1.50", None, f"row 2 {k}.25"][: 3 if d is None or d % 2 else 1])]
+        new += [(d, 10 * k + 9, "Total 100.00") for d in docs if k == 2 or d == 2**60 + 1]
+        spark.createDataFrame(new, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream.to_table(stream.running_totals(stream.read_files(spark, f"{tmp_path}/in/*", schema)), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r.doc_id, r.seq): (r.n, r.actual) for r in spark.read.schema(stream.TOTALS).parquet(f"{tmp_path}/out").collect()}
+    want = {(d, 29): (3, 4.5) if d is not None and d % 2 == 0 else (6, 8.25) for d in docs}
+    want |= {(2**60 + 1, 10 * k + 9): (2, 1.75 + k) for k in range(3)}
+    assert got == want
