@@ -116,3 +116,15 @@ def test_documents_share_states(spark, tmp_path, monkeypatch):
     want = {(d, 29): (3, 4.5) if d is not None and d % 2 == 0 else (6, 8.25) for d in docs}
     want |= {(2**60 + 1, 10 * k + 9): (2, 1.75 + k) for k in range(3)}
     assert got == want
+
+
+def test_groups_of_shows_are_made_once(spark):
+    """No filter works groups and scores out before they are made."""
+    from paperloom.operators import edits
+
+    shows = spark.createDataFrame([(1, 1, 1, k, text, 50.0 * k, 700.0, 9.0) for k, text in enumerate(("A-1", "1,234.00", "x", "y"))], "doc_id long, page int, stream int, ord int, text string, x double, y double, font_size double")
+    needles = ["A-1 1234.00", "A - 1", "1,234.00 x", "1,234.00-", "none", "--"]
+    patches = spark.createDataFrame([(1, 1, k, 0.0, 700.0, needle, None) for k, needle in enumerate(needles)], "doc_id long, page int, patch_id int, x double, y double, original string, raw_text string")
+    found = edits.by_text(shows, patches)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r.patch_id: ([m.ord for m in r.members], round(r.score, 2)) for r in found.collect()} == {0: ([0, 1], 860.0), 1: ([0], 840.0), 2: ([1, 2], 950.0), 3: ([1], 690.0)}
