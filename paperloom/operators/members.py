@@ -10,6 +10,7 @@ from paperloom.functions.text import normalize, soft_match_key
 from paperloom.operators.drafts import across_columns, split_across_runs
 from paperloom.operators.edits import show_width
 from paperloom.operators.layout import columns_of_lines, visual_bands
+from paperloom.session import cut
 
 LINE = ("doc_id", "page", "line")
 #: Height of the bands in which lines look for shows, in points.
@@ -111,8 +112,9 @@ def flattened(patches: DataFrame, members: DataFrame) -> DataFrame:
 
 def selection_runs(runs: DataFrame, selected: DataFrame) -> DataFrame:
     """runs(doc_id, page, line, ord, text, x, y, width, height, ...) of selected(doc_id, page, selection, line): a line's runs if it has
-    several, else those of its whole row if that has, else the line's. One join by page and row answers both."""
-    banded = visual_bands(runs)
+    several, else those of its whole row if that has, else the line's. One join by page and row answers both.
+    Rows are written first, since they are read three times."""
+    banded = cut(visual_bands(runs))
     lines = banded.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n_own"), F.min("band").alias("band"))
     rows = banded.groupBy("doc_id", "page", "band").agg(F.count(F.lit(1)).alias("n_row"))
     want = selected.join(lines, [*LINE]).join(rows, ["doc_id", "page", "band"])

@@ -118,6 +118,17 @@ def test_documents_share_states(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_bands_are_made_once(spark):
+    """Rows of a page are a fold that no filter works out before it is taken apart, and a selection reads them from a table."""
+    from paperloom.operators import layout, members
+
+    r = spark.createDataFrame([(1, 1, k // 2, k % 2, 60.0 * k, 700.0 - 18 * (k // 2), 20.0, 9.0, 9.0, f"a{k}") for k in range(6)], "doc_id long, page int, line int, ord int, x double, y double, width double, height double, font_size double, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(layout.visual_bands(r)).count("aggregate(rows") == 1
+    chosen = members.selection_runs(r, r.select("doc_id", "page", "line").distinct().withColumn("selection", F.col("line")))
+    assert "aggregate(rows" not in plan(chosen) and chosen.count() == 6
+
+
 def test_groups_of_shows_are_made_once(spark):
     """No filter works groups and scores out before they are made."""
     from paperloom.operators import edits
