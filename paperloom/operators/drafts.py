@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import clean_copy, estimate_width, looks_like_amount, normalize
+from paperloom.functions.text import clean_copy, estimate_width, let, looks_like_amount, normalize
 
 # Phrases that a text can do without, in the order in which they go, and what stands for them.
 FILLERS = (
@@ -25,28 +25,53 @@ def split_across_runs(runs: DataFrame, drafts: DataFrame, by: tuple[str, ...] =
     return r.select(*by, "ord", F.array_join(part, " ").alias("draft"))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
+
+
+def _alike(token: Column, text: Column) -> Column:
+    """Whether a token and a text are the same by their key. A token of plain characters is its own key, which a text of plain ones must hold
+    as it stands, so most pairs are told apart without keys."""
+    plain = (F.octet_length(token) == F.length(token)) & (F.octet_length(text) == F.length(text))
+    return (token == text) | ((~plain | F.contains(text, token)) & (normalize(token) == normalize(text)))
+
+
 def across_columns(columns: Column, draft: Column) -> Column:
     """A draft dealt onto a line's columns (texts from the left), from the right: a column that held an amount takes the
-    last token left if that is an amount or the same text; another takes as many as it had; the first takes the rest."""
-    tokens = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
+    last token left if that is an amount or the same text; another takes as many as it had; the first takes the rest. What a column
+    takes is asked once."""
 
     def dealt(s: Column) -> Column:
         begin = F.struct(F.size(s["w"]).alias("end"), F.array().cast("array<string>").alias("out"))
 
         def add(a: Column, c: Column) -> Column:
-            last = F.coalesce(F.get(s["w"], a["end"] - 1), F.lit(""))
-            amount = looks_like_amount(c)
-            n = F.when(a["end"] == 0, 0).when(amount, (looks_like_amount(last) | (normalize(last) == normalize(c))).cast("int")).otherwise(F.least(F.greatest(F.size(tokens(c)), F.lit(1)), a["end"]))
-            part = F.array_join(F.slice(s["w"], a["end"] - n + 1, n), " ")
-            return F.struct((a["end"] - n).alias("end"), F.concat(F.array(F.when(n > 0, part).otherwise("")), a["out"]).alias("out"))
+            own = let(F.coalesce(F.get(s["w"], a["end"] - 1), F.lit("")), lambda last: (looks_like_amount(last) | _alike(last, c)).cast("int"))
+            n = F.when(a["end"] == 0, 0).when(looks_like_amount(c), own).otherwise(F.least(F.greatest(F.size(_words(c)), F.lit(1)), a["end"]))
+            part = lambda n: F.when(n == 1, F.get(s["w"], a["end"] - 1)).when(n > 0, F.array_join(F.slice(s["w"], a["end"] - n + 1, n), " ")).otherwise("")
+            return let(n, lambda n: F.struct((a["end"] - n).alias("end"), F.concat(F.array(part(n)), a["out"]).alias("out")))
 
         done = F.aggregate(F.reverse(F.slice(s["c"], F.lit(2), F.greatest(F.size(s["c"]) - 1, F.lit(0)))), begin, add)
-        return F.transform(F.array(done), lambda x: F.concat(F.array(F.array_join(F.slice(s["w"], F.lit(1), x["end"]), " ")), x["out"]))[0]
+        return let(done, lambda x: F.concat(F.array(F.array_join(F.slice(s["w"], F.lit(1), x["end"]), " ")), x["out"]))
 
-    spread = F.transform(F.array(F.struct(columns.alias("c"), tokens(draft).alias("w"))), dealt)[0]
+    spread = let(F.struct(columns.alias("c"), _words(draft).alias("w")), dealt)
     return F.when(F.size(columns) == 1, F.array(draft)).otherwise(spread)
 
 
+def across_runs(texts: Column, draft: Column) -> Column:
+    """The same as split_across_runs for the texts of one line's runs in order, as an array of drafts."""
+
+    def dealt(words: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def add(a: Column, text: Column) -> Column:
+            return let(F.greatest(F.size(_words(text)), F.lit(1)), lambda n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(F.array_join(F.slice(words, a["at"] + 1, n), " "))).alias("out")))
+
+        done = F.aggregate(F.slice(texts, F.lit(1), F.size(texts) - 1), begin, add)
+        return let(done, lambda x: F.concat(x["out"], F.array(F.array_join(F.slice(words, x["at"] + 1, F.greatest(F.size(words), F.lit(1))), " "))))
+
+    return let(_words(F.coalesce(draft, F.lit(""))), dealt)
+
+
 def wrapped(text: Column, size: float, width: float) -> Column:
     """Lines of whole words that fit a width; a word that is too wide has a line of its own."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")

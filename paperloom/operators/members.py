@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import normalize, soft_match_key
-from paperloom.operators.drafts import across_columns, split_across_runs
+from paperloom.functions.text import let, looks_like_amount, looks_like_money, normalize, soft_match_key
+from paperloom.operators.drafts import across_columns, across_runs
 from paperloom.operators.edits import show_width
-from paperloom.operators.layout import columns_of_lines, visual_bands
+from paperloom.operators.layout import _new_column, columns_of_lines, visual_bands
 from paperloom.session import cut
 
 LINE = ("doc_id", "page", "line")
@@ -69,15 +69,43 @@ def split_by_shows(lines: DataFrame, shows: DataFrame) -> DataFrame:
 def dealt(runs: DataFrame, drafts: DataFrame) -> DataFrame:
     """runs(doc_id, page, line, ord, text, x, width, font_size) and drafts(doc_id, page, line, draft) -> doc_id, page, line, ord, column, draft:
     a line's draft dealt onto its columns, amounts from the right, and each column's part on to its runs by their words."""
-    r = columns_of_lines(runs)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "ord", "text"))), lambda t: t["text"]), " ")
-    cols = r.groupBy(*LINE, "column").agg(joined.alias("text")).groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("column", "text"))).alias("c"))
-    parts = cols.join(drafts.select(*LINE, "draft"), [*LINE]).select(*LINE, F.posexplode(across_columns(F.transform("c", lambda c: c["text"]), F.col("draft"))).alias("column", "draft"))
-    place = F.row_number().over(Window.partitionBy(*LINE, "column").orderBy("x", "ord"))
-    ordered = r.select(*LINE, "column", F.col("ord").alias("own"), "text", place.alias("ord"))
-    by = (*LINE, "column")
-    split = split_across_runs(ordered, parts, by)
-    return ordered.join(split, [*by, "ord"]).select(*LINE, F.col("own").alias("ord"), "column", "draft")
+    lines = runs.groupBy(*LINE).agg(F.collect_list(F.struct("x", "ord", "text", "width", "font_size")).alias("runs"))
+    return dealt_lines(lines.join(drafts.select(*LINE, "draft"), [*LINE]))
+
+
+def dealt_lines(lines: DataFrame) -> DataFrame:
+    """The same from lines(doc_id, page, line, runs, draft) that hold their runs (structs of x, ord, text, width, font_size). A line is
+    dealt where it lies: its runs are neither taken apart before nor joined and sorted again."""
+
+    def begins(runs: Column) -> Column:
+        """Places of runs (from 0) at which columns begin."""
+        told = lambda r: (looks_like_money(F.coalesce(r["text"], F.lit(""))), looks_like_amount(F.coalesce(r["text"], F.lit(""))))
+
+        def fresh(r: Column, k: Column) -> Column:
+            begun = lambda p: _new_column(p["x"], p["width"], told(p), r["x"], told(r), F.greatest(r["font_size"], p["font_size"], F.lit(8.0)))
+            return F.when(k == 0, k).when(let(F.get(runs, k - 1), begun), k)
+
+        return F.filter(F.transform(runs, fresh), lambda k: k.isNotNull())
+
+    def dealt_out(s: Column) -> Column:
+        """s: runs of a line, from the left, and where columns begin."""
+        def of(begin: Column, c: Column) -> Column:
+            end = F.coalesce(F.get(s["begins"], c + 1), F.size(s["runs"]))
+            return F.transform(F.slice(s["runs"], begin + 1, end - begin), lambda r: r["text"])
+
+        texts = F.transform(s["begins"], of)
+
+        def parts(texts: Column) -> Column:
+            onto = across_columns(F.transform(texts, lambda t: F.array_join(t, " ")), F.coalesce("draft", F.lit("")))
+            # A part of several is made of words already.
+            return F.flatten(F.transform(F.arrays_zip(texts.alias("t"), onto.alias("d")), lambda z, c: F.transform(F.when((F.size(z["t"]) == 1) & (F.size(texts) > 1), F.array(z["d"])).otherwise(across_runs(z["t"], z["d"])), lambda d: F.struct(c.alias("column"), d.alias("draft")))))
+
+        given = lambda d: F.transform(s["runs"], lambda r, k: F.struct(r["ord"].alias("ord"), F.get(d, k)["column"].alias("column"), F.get(d, k)["draft"].alias("draft")))
+        return let(let(texts, parts), given)
+
+    out = let(F.sort_array("runs"), lambda runs: let(F.struct(runs.alias("runs"), begins(runs).alias("begins")), dealt_out))
+    # No line is empty; a plain inline would ask for that, and deal twice.
+    return lines.select(*LINE, F.inline_outer(out))
 
 
 def raw_text_of(member_raw: Column, patch_raw: Column, needle: Column) -> Column:

@@ -139,3 +139,19 @@ def test_groups_of_shows_are_made_once(spark):
     found = edits.by_text(shows, patches)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert {r.patch_id: ([m.ord for m in r.members], round(r.score, 2)) for r in found.collect()} == {0: ([0, 1], 860.0), 1: ([0], 840.0), 2: ([1, 2], 950.0), 3: ([1], 690.0)}
+
+
+def test_drafts_are_dealt_where_lines_lie(spark):
+    """A line's runs are gathered once; nothing is numbered, taken apart and joined again by run."""
+    from paperloom.operators import members
+
+    rows = [(1, 0, 56.0, "blue"), (1, 1, 86.0, "sea"), (1, 2, 360.0, "7"), (1, 3, 420.0, "1,000.00"), (2, 5, 10.0, "one run"), (3, 0, 400.0, "9.00"), (3, 1, 10.0, None), (3, 2, 30.0, "a b"), (4, 0, 10.0, "x"), (4, 1, 30.0, "y")]
+    runs = spark.createDataFrame([(1, 1, line, ord, x, 25.0, 9.0, text) for line, ord, x, text in rows], "doc_id long, page int, line int, ord int, x double, width double, font_size double, text string")
+    drafts = spark.createDataFrame([(1, 1, 1, "new big  blue sea 7 1,000.00"), (1, 1, 2, " a  b "), (1, 1, 3, "p q r 8.00"), (1, 1, 4, None)], "doc_id long, page int, line int, draft string")
+    dealt = members.dealt(runs, drafts)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+    got = {(r.line, r.ord): (r.column, r.draft) for r in dealt.collect()}
+    assert got == {
+        (1, 0): (0, "new"), (1, 1): (0, "big blue sea"), (1, 2): (1, "7"), (1, 3): (2, "1,000.00"), (2, 5): (0, "a b"), (3, 1): (0, "p"), (3, 2): (0, "q r"), (3, 0): (1, "8.00"), (4, 0): (0, ""), (4, 1): (0, ""),
+    }
