@@ -168,3 +168,22 @@ def test_drafts_of_columns_meet_items_once(spark):
     texts = [("a­-5.00 5.0­0", "5.00"), ("b 5.00­", "5.00"), ("c x", "5.00"), ("d (5)", " (5)\t"), ("e 5–", "5-")]
     d = spark.createDataFrame(texts, "draft string, amount string").select("draft", drafts.across_columns(F.array(F.lit("name"), "amount"), F.col("draft")).alias("d"))
     assert {r.draft[0]: r.d for r in d.collect()} == {"a": ["a­-5.00", "5.0­0"], "b": ["b", "5.00­"], "c": ["c x", ""], "d": ["d", "(5)"], "e": ["e", "5–"]}
+
+
+def test_streams_are_patched_where_they_lie(spark):
+    """A stream is cut once on the way to operators, and put together again as token by token; pages of which nothing is left go."""
+    from paperloom.sources import content, rewriting
+
+    texts = ["BT /F 9 Tf 1 0 0 1 5 6 Tm (a) Tj % note\n(b) Tj 3 4 Td <41> Tj ET", "(only) Tj", "BT 7 8 Td (c) Tj ET", ""]
+    streams = spark.createDataFrame([(d, 1, t) for d, t in enumerate(texts)], "doc_id long, page int, stream string")
+    cut_once = content.operators_of(streams)._jdf.queryExecution().optimizedPlan().toString()
+    assert cut_once.count("regexp_extract_all(stream") == 1
+    toks = content.tokens(streams)
+    assert toks._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(stream") == 1
+    ops, shows = content.operators_of(streams), content.painted(streams).where("kind = 'show'")
+    s = shows.select("doc_id", "page", "ord", F.when(F.col("text") == "b", "remove").when(F.col("text") == "only", "remove").when(F.col("text") == "c", "keep").otherwise("text").alias("action"), F.lit("n (1)").alias("text"), F.lit(None).cast("string").alias("codes"))
+    changes = s.withColumns({"to_x": F.when(F.col("doc_id") == 2, 70.0).when(F.col("text") == "", 1.0), "to_y": F.lit(None).cast("double")})
+    want = {r.doc_id: r.stream for r in rewriting.joined(rewriting.patched(toks, ops, shows, changes)).collect()}
+    again = rewriting.patched_streams(streams, ops, shows, changes)
+    got = {r.doc_id: r.stream for r in again.collect()}
+    assert got == want and set(got) == {0, 2} and "(n \\(1\\)) Tj 3 4 Td (n \\(1\\)) Tj ET" in got[0] and "%" not in got[0]
