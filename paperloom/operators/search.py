@@ -41,15 +41,18 @@ GRAM = 3
 
 class Index:
     """Where words stand in texts(*keys, text): `texts`, lower-cased and with white space collapsed; `words`, a row for each word
-    of each text with its place; `vocabulary`, distinct words with their numbers of places. Stored in the shared folder if it
-    is to serve several searches, else worked out by the one it serves."""
+    of each text with its place and the words beside it; `vocabulary`, distinct words with their numbers of places. Texts are
+    stored in the shared folder, as several steps read them; words, too, if the index is to serve several searches."""
 
     def __init__(self, texts: DataFrame, keys: tuple[str, ...], stored: bool = False):
         keep = cut if stored else lambda df: df
         self.keys = keys
-        self.texts = keep(texts.select(*keys, normalized_query(F.lower("text")).alias("text")).where("text <> ''"))
-        self.words = keep(self.texts.select(*keys, F.posexplode(F.split("text", " ")).alias("place", "word")))
-        self.vocabulary = cut(self.words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+        self.texts = cut(texts.select(*keys, normalized_query(F.lower("text")).alias("text"))).where("text <> ''")
+        # A plain explode would ask whether there are words, and part a text twice.
+        alone = self.texts.select(*keys, F.split("text", " ").alias("w"))
+        beside = F.transform("w", lambda x, k: F.struct(x.alias("word"), F.get("w", k - 1).alias("before"), F.get("w", k + 1).alias("after")))
+        self.words = keep(alone.select(*keys, F.posexplode_outer(beside).alias("place", "x")).select(*keys, "place", "x.*"))
+        self.vocabulary = cut(alone.select(F.explode_outer("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _grams(word: Column) -> Column:
@@ -62,7 +65,8 @@ def _grams(word: Column) -> Column:
 def _probes(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, needle, anchor (0 and 1), k, word: the words of the vocabulary that may stand where the query's rarest word
     stands, and where its second rarest does. Inner words of a query stand as they are; its first is the end of a word, its
-    last a beginning, an only one a part. Those of three words or more are looked for by inner words alone."""
+    last a beginning, an only one a part. Those of three words or more are looked for by inner words alone, of which the rarest is the
+    only anchor: `before` and `after` are the inner words that must stand beside it, where it has such."""
     q = queries.select("query_id", normalized_query(F.lower("query")).alias("needle")).where("needle <> ''").withColumn("parts", F.split("needle", " "))
     n = F.size("parts")
     how = F.when(n == 1, "*").when(F.col("k") == 0, ">").when(F.col("k") == n - 1, "<").otherwise("=")
@@ -74,29 +78,36 @@ def _probes(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     size = F.least(F.length("part"), F.lit(GRAM))
     middle = F.floor((F.length("part") - size) / 2).cast("int") + 1
     gram = F.concat("how", F.when(F.col("how") == "<", F.left("part", size)).when(F.col("how") == ">", F.right("part", size)).otherwise(F.substring(F.col("part"), middle, size)))
-    grams = vocabulary.select("word", "n", F.explode(_grams(F.col("word"))).alias("gram"))
+    grams = vocabulary.select("word", "n", F.explode_outer(_grams(F.col("word"))).alias("gram"))  # a plain explode would make them twice
     fits = F.when(F.col("how") == "<", F.startswith("word", "part")).when(F.col("how") == ">", F.endswith("word", "part")).otherwise(F.contains("word", "part"))
     near = loose.withColumn("gram", gram).join(grams, "gram").where(fits).drop("gram")
-    met = same.unionByName(near)
+    met = cut(same.unionByName(near))  # read twice
     # A query of which some word stands nowhere has no hits. The parts of a query are few, so a window holds them.
     of_part = met.groupBy("query_id", "needle", "looked_for", "k").agg(F.sum("n").alias("places"))
     one = Window.partitionBy("query_id", "needle")
     rank = of_part.withColumn("anchor", F.row_number().over(one.orderBy("places", "k")) - 1).withColumn("met", F.count(F.lit(1)).over(one))
-    rank = rank.where("met = looked_for and anchor < 2").select("query_id", "needle", "k", "anchor", F.least("met", F.lit(2)).alias("anchors"))
+    words = F.split("needle", " ")
+    long = F.size(words) > 2
+    inner = lambda k: F.when(long & (k > 0) & (k < F.size(words) - 1), F.get(words, k))
+    rank = rank.where((F.col("met") == F.col("looked_for")) & (F.col("anchor") < F.when(long, 1).otherwise(2)))
+    rank = rank.select("query_id", "needle", "k", "anchor", F.when(long, 1).otherwise(F.least("met", F.lit(2))).alias("anchors"), inner(F.col("k") - 1).alias("before"), inner(F.col("k") + 1).alias("after"))
     return rank.join(met.select("query_id", "needle", "k", "word"), ["query_id", "needle", "k"])
 
 
 def find(index: Index, queries: DataFrame) -> DataFrame:
     """Hits of queries(query_id, query) in an index's texts: query_id, keys, start, end, text. Words are met by equality only.
-    Where the two rarest words of a query stand at their distance, the text is looked through; any white space of the text,
-    line ends too, parts words."""
-    probes = cut(_probes(queries, index.vocabulary))
-    at = index.words.join(probes, "word").select("query_id", "needle", *index.keys, (F.col("place") - F.col("k")).alias("at"), "anchor", "anchors")
+    Where the rarest inner word of a query stands with its neighbours beside it, or the two words of a short one at their distance, the text is
+    looked through; any white space of the text, line ends too, parts words."""
+    probes = cut(_probes(queries, index.vocabulary)).alias("p")
+    words = index.words.alias("w")
+    beside = lambda side: F.col(f"p.{side}").isNull() | F.coalesce(F.col(f"p.{side}") == F.col(f"w.{side}"), F.lit(False))
+    at = words.join(probes, (F.col("w.word") == F.col("p.word")) & beside("before") & beside("after")).select("query_id", "needle", *index.keys, (F.col("place") - F.col("k")).alias("at"), "anchor", "anchors")
     places = at.where("anchor = 0")
     second = at.where("anchor = 1").select("query_id", "needle", *index.keys, "at")
     both = places.where("anchors = 2").join(second, ["query_id", "needle", *index.keys, "at"], "left_semi")
     met = both.unionByName(places.where("anchors = 1")).select("query_id", "needle", *index.keys).distinct()
-    hits = met.join(index.texts, [*index.keys]).withColumn("start", F.explode(occurrences(F.col("text"), F.col("needle"))))
+    # Most texts don't hold the query; a plain explode would ask for places, and look for them twice.
+    hits = met.join(index.texts, [*index.keys]).where(F.contains("text", "needle")).withColumn("start", F.explode_outer(occurrences(F.col("text"), F.col("needle")))).where("start is not null")
     return hits.select("query_id", *index.keys, "start", (F.col("start") + F.length("needle")).alias("end"), "text")
 
 

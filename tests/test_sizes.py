@@ -187,3 +187,20 @@ def test_streams_are_patched_where_they_lie(spark):
     again = rewriting.patched_streams(streams, ops, shows, changes)
     got = {r.doc_id: r.stream for r in again.collect()}
     assert got == want and set(got) == {0, 2} and "(n \\(1\\)) Tj 3 4 Td (n \\(1\\)) Tj ET" in got[0] and "%" not in got[0]
+
+
+def test_phrases_are_anchored_by_neighbours(spark):
+    """The rarest inner word of a phrase is its only anchor, and only where its neighbours stand beside it; texts are parted and looked through once."""
+    from paperloom.operators import search
+
+    pages = spark.createDataFrame([(1, 1, "a b  c d\ne a b c x d e"), (2, 1, "B C D"), (3, 1, "xa b c d ex b c"), (4, 1, "  "), (5, 1, None)], "doc_id long, page int, text string")
+    queries = spark.createDataFrame([(1, "a b c d e"), (2, "b c d"), (3, "b d"), (4, "c"), (5, "b c x d"), (6, "a c b d")], "query_id int, query string")
+    index = search.Index(pages, ("doc_id", "page"))
+    probes = [r for r in search._probes(queries, index.vocabulary).collect() if len(r.needle.split()) > 2]
+    inner = lambda r, k: r.needle.split()[k] if 0 < k < len(r.needle.split()) - 1 else None
+    assert {r.query_id for r in probes} == {1, 2, 5, 6} and len(probes) == 4
+    assert all((r.anchors, r.word, r.before, r.after) == (1, inner(r, r.k), inner(r, r.k - 1), inner(r, r.k + 1)) for r in probes)
+    hits = search.find_pages(pages, queries)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and plan.count("\\Q") <= 2
+    assert {(r.query_id, r.doc_id, r.start) for r in hits.collect()} == {(1, 1, 0), (1, 3, 1), (2, 1, 2), (2, 2, 0), (2, 3, 3), (4, 1, 4), (4, 1, 14), (4, 2, 2), (4, 3, 5), (4, 3, 14), (5, 1, 12)}
