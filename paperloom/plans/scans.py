@@ -38,7 +38,7 @@ SELECT doc_id, CASE ord WHEN 0 THEN text WHEN 1 THEN '1' || text WHEN 2 THEN '10
 @query("painted_shows", STATES)
 def painted_shows(spark: SparkSession, d: str) -> DataFrame:
     """Every show with the state it stands in."""
-    p = content.painted(_streams(spark, d)).where("kind = 'show'")
+    p = content.painted(_streams(spark, d), ("show",), ("doc_id", "text", "font", "mode", "in_text", "x", "y", "scale", "red"))
     return rounded(p.select("doc_id", "text", "font", "mode", "in_text", "x", "y", "scale", "red"), "x", "y")
 
 

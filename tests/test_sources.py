@@ -106,6 +106,19 @@ def test_streams_are_cut_where_they_lie(spark):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_streams_are_walked_without_rows_of_tokens(spark):
+    """What is painted is told from the stream itself, the same as from its operators as rows; kinds and columns that aren't asked for aren't made."""
+    odd = ["(a\\051\\\r\nb\\q) Tj <4 1\n4> Tj <zz> Tj", "[(a) -200 % x\n(b) -1 <4>] TJ -200 TJ 5 Tj", "1 0 0 1 5 6 cm /F#31 9 Tf BT 1.2.3 Tr 3 Tr +1 .5 Td (x) ' BI /W 1 ID x EI (y) Tj",
+           "BIT (a(b(c)) Tj ) Tj [1 << /K 2 >> 1 1 1 rg\xa00 0 5 5 re", "1 1 1 rg 0 0 5 5 re\x0b/A Do q Q Q 1 0 0 0 k", "%only", "", None, "1 1 1 rg 1 2 3 4 re BI"]
+    streams = spark.createDataFrame([(d, 1, t) for d, t in enumerate(odd)], "doc_id long, page int, stream string").coalesce(1)
+    told = lambda df: [str(tuple(r)) for r in df.collect()]
+    p = content.painted(streams)
+    assert told(p) == told(content._walked(content.operators_of(streams))) and len(told(p)) == 12
+    assert "regexp_extract_all" not in p._jdf.queryExecution().optimizedPlan().toString()
+    for kinds, names in ((("box",), ("doc_id", "white", "x", "y", "wide")), (("box",), ("mode", "red")), (("show",), ("text",)), (("show",), ("x", "in_text", "scale")), (("image", "mode"), ("kind", "x", "size")), (("show", "box"), ("y", "ctm"))):
+        assert told(content.painted(streams, kinds, names)) == told(p.where(F.col("kind").isin(*kinds)).select(*names))
+
+
 def test_items_lie_by_order(spark):
     """Lines are numbered over all items, then those without a part go; operators by document shuffle nothing more."""
     import tempfile
