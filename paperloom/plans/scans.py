@@ -60,7 +60,7 @@ LAYERS = f"""WITH {sql.RUNS} SELECT doc_id, count(*) + count(*) FILTER (WHERE or
 @query("text_layers", LAYERS)
 def text_layers(spark: SparkSession, d: str) -> DataFrame:
     """Shows of each page, counted and joined end to end."""
-    g = content.painted(_streams(spark, d)).where("kind = 'show'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
+    g = content.painted(_streams(spark, d), ("show",), ("doc_id", "ord", "text")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
     return g.select("doc_id", "n", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("joined"))
 
 
