@@ -71,7 +71,7 @@ WHITE = f"WITH {sql.RUNS} SELECT DISTINCT a.doc_id, a.line * 10 + a.ord AS box_i
 def white_covers(spark: SparkSession, d: str) -> DataFrame:
     """Runs that a white box touches."""
     boxes = views.runs(spark, d).select("doc_id", "page", (F.col("line") * 10 + F.col("ord")).alias("box_id"), "x", "y", "width", "height")
-    return content.covered_white(content.painted(_streams(spark, d)), boxes).select("doc_id", "box_id")
+    return content.covered_white(content.painted(_streams(spark, d), ("box",), ("doc_id", "page", "kind", "white", "x", "y", "wide", "high")), boxes).select("doc_id", "box_id")
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
