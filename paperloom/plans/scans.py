@@ -50,7 +50,7 @@ SELECT doc_id, n * 5 AS shows, n * 4 AS visible, n AS hidden, CAST(doc_id % 2 =
 @query("scan_paint", PAINT)
 def scan_paint(spark: SparkSession, d: str) -> DataFrame:
     """What the paint of every page says about a scan."""
-    g = content.scan_paint(content.painted(_streams(spark, d)), 595.0, 842.0)
+    g = content.scan_paint(content.painted(_streams(spark, d), names=content.SCANNED), 595.0, 842.0)
     return g.select("doc_id", "shows", "visible", "hidden", "full_images", "modes_inside", "modes_outside", "pairs", "stacked")
 
 

@@ -119,6 +119,14 @@ def test_streams_are_walked_without_rows_of_tokens(spark):
         assert told(content.painted(streams, kinds, names)) == told(p.where(F.col("kind").isin(*kinds)).select(*names))
 
 
+def test_keys_of_stacked_shows_are_made_once(spark):
+    """Both sides of the pairs read written keys, so no plan of pairs makes any."""
+    streams = spark.createDataFrame([(1, 1, "BT /F 9 Tf 1 0 0 1 5 6 Tm (Abcdefgh) Tj ET BT 1 0 0 1 5 7 Tm (Abcdefgh i) Tj ET BT 1 0 0 1 5 7 Tm (\x7f1234-----------) Tj ET"), (2, 1, "(Abcdefgh) Tj")], "doc_id long, page int, stream string")
+    pairs = content.stacked_pairs(content.painted(streams))
+    assert [tuple(r) for r in pairs.collect()] == [(1, 1, 1)]
+    assert "regexp_replace" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_items_lie_by_order(spark):
     """Lines are numbered over all items, then those without a part go; operators by document shuffle nothing more."""
     import tempfile
