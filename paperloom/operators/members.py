@@ -11,6 +11,7 @@ from paperloom.operators.drafts import across_columns, across_runs
 from paperloom.operators.edits import show_width
 from paperloom.operators.layout import _new_column, columns_of_lines, visual_bands
 from paperloom.session import cut
+from paperloom.session import dealt as dealt_out
 
 LINE = ("doc_id", "page", "line")
 #: Height of the bands in which lines look for shows, in points.
@@ -28,9 +29,9 @@ def _nearest(lines: DataFrame, shows: DataFrame) -> DataFrame:
     best = F.min_by("s_y", F.struct(F.abs(F.col("s_y") - F.col("y")), "s_ord"))
     band = F.floor(F.col("y") / BAND)
     around = b.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-    near = around.join(s.withColumn("band", F.floor(F.col("s_y") / BAND)), ["doc_id", "page", "band"]).where(meets & (F.abs(F.col("s_y") - F.col("y")) <= BAND))
-    near = near.groupBy(*LINE).agg(best.alias("stream_y"))
-    far = b.join(near.select(*LINE), [*LINE], "left_anti").join(s, ["doc_id", "page"]).where(meets).groupBy(*LINE).agg(best.alias("stream_y"))
+    near = around.join(dealt_out(s.withColumn("band", F.floor(F.col("s_y") / BAND))), ["doc_id", "page", "band"]).where(meets & (F.abs(F.col("s_y") - F.col("y")) <= BAND))
+    near = cut(near.groupBy(*LINE).agg(best.alias("stream_y")))
+    far = b.join(dealt_out(near.select(*LINE)), [*LINE], "left_anti").join(dealt_out(s), ["doc_id", "page"]).where(meets).groupBy(*LINE).agg(best.alias("stream_y"))
     return near.unionByName(far)
 
 
@@ -38,28 +39,30 @@ def split_by_shows(lines: DataFrame, shows: DataFrame) -> DataFrame:
     """lines(doc_id, page, line, text, x, y, width, height, font_size) of one run each, and shows(doc_id, page, ord, text, x, y,
     font_size) -> doc_id, page, line, column, text, x, y, width, height, font_size, n_columns, origin_y: a line whose stream shows
     several columns at its place becomes their texts, any other stays itself. The place is the nearest shown baseline; a
-    column begins where a show doesn't go on from the one before it."""
-    d = lines.join(_nearest(lines, shows), [*LINE], "left")
+    column begins where a show doesn't go on from the one before it. What several joins read is written first, and no side of a
+    join is sent whole, so neither plans nor tables grow in the driver."""
+    lines, shows = cut(lines), cut(shows)
+    d = lines.join(dealt_out(_nearest(lines, shows)), [*LINE], "left")
     reach = F.greatest(F.lit(3.0), F.col("font_size") * 0.5)
     first, last = F.floor((F.col("stream_y") - reach) / BAND), F.floor((F.col("stream_y") + reach) / BAND)
     at = d.where("stream_y is not null").select(*LINE, "x", "width", "font_size", "stream_y", F.explode(F.sequence(first, last)).alias("band"))
     s = shows.select("doc_id", "page", F.col("ord"), F.col("text"), F.col("x").alias("s_x"), F.col("y").alias("s_y"), F.col("font_size").alias("s_size"), show_width(F.col("text"), F.col("font_size")).alias("s_w"), F.floor(F.col("y") / BAND).alias("band"))
     shared = F.least(F.col("s_x") + F.col("s_w"), F.col("x") + F.col("width")) - F.greatest("s_x", "x")
-    hits = at.join(s, ["doc_id", "page", "band"]).where((shared > F.least("s_w", "width") * 0.2) & (F.abs(F.col("s_y") - F.col("stream_y")) <= F.greatest(F.lit(3.0), F.col("font_size") * 0.5)))
+    hits = at.join(dealt_out(s), ["doc_id", "page", "band"]).where((shared > F.least("s_w", "width") * 0.2) & (F.abs(F.col("s_y") - F.col("stream_y")) <= F.greatest(F.lit(3.0), F.col("font_size") * 0.5)))
     runs = hits.select(*LINE, "ord", "text", F.col("s_x").alias("x"), F.col("s_y").alias("y"), F.col("s_w").alias("width"), F.col("s_size").alias("font_size"), F.col("font_size").alias("own"))
     cols = columns_of_lines(runs).groupBy(*LINE, "column").agg(
         F.sort_array(F.collect_list(F.struct("x", "ord", "text"))).alias("t"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("right"), F.min("y").alias("y"),
         F.greatest(F.max("font_size"), F.max("own")).alias("font_size"), F.count(F.lit(1)).alias("n"),
     )
     line = Window.partitionBy(*LINE)
-    cols = cols.withColumns({"n_columns": F.count(F.lit(1)).over(line), "n_hits": F.sum("n").over(line)})
+    cols = cut(cols.withColumns({"n_columns": F.count(F.lit(1)).over(line), "n_hits": F.sum("n").over(line)}))
     text = F.trim(F.regexp_replace(F.array_join(F.transform("t", lambda r: r["text"]), " "), r"[ \t]+", " "))
     size = F.col("font_size")
     split = cols.where("n_columns > 1").select(
         *LINE, "column", text.alias("text"), "x", "y", F.greatest(F.col("right") - F.col("x"), size * 0.6).alias("width"), (size * 1.18).alias("height"), "font_size", "n_columns", F.col("y").alias("origin_y"),
     )
     told = cols.groupBy(*LINE).agg(F.first("n_columns").alias("n_columns"), F.first("n_hits").alias("n_hits"))
-    rest = d.join(told, [*LINE], "left").where("coalesce(n_columns, 1) = 1")
+    rest = d.join(dealt_out(told), [*LINE], "left").where("coalesce(n_columns, 1) = 1")
     # A line with one show stands where that stands, one whose shows are a single column where it is.
     own = F.when(F.coalesce("n_hits", F.lit(0)) < 2, F.coalesce("stream_y", "y")).otherwise(F.col("y"))
     rest = rest.select(*LINE, F.lit(0).alias("column"), "text", "x", "y", "width", "height", "font_size", F.lit(1).cast("long").alias("n_columns"), own.alias("origin_y"))

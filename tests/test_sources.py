@@ -119,6 +119,32 @@ def test_streams_are_walked_without_rows_of_tokens(spark):
         assert told(content.painted(streams, kinds, names)) == told(p.where(F.col("kind").isin(*kinds)).select(*names))
 
 
+def test_streams_tell_which_operators_place_shows(spark):
+    """The same owners from the stream itself as from its operators as rows, and the same patched stream."""
+    from paperloom.sources import rewriting
+
+    odd = ["BT 1 0 0 1 5 6 Tm (a) Tj % note\n(b) Tj 3 4 Td (c) Tj ET 9 9 Td (d) Tj", "1 2 /N % x\n 3 TD (e) ' BT", "7 Td (f) Tj T* (g) Tj ET (h) Tj 1 2 Td q (i) Tj Q", "BT 1 2 Td T* (j) Tj 1 0 0 1 2 3 Tm (k) TJ", "", None]
+    streams = spark.createDataFrame([(d, 1, t) for d, t in enumerate(odd)], "doc_id long, page int, stream string")
+    told = lambda df: sorted((r.doc_id, r.ord, r.position, r.p_ord, [(a.ord, a.kind == "num") for a in r.p_args]) for r in df.where("position is not null").collect())
+    assert told(rewriting.owned(streams)) == told(rewriting._owned(content.operators_of(streams))) and len(told(rewriting.owned(streams))) == 6
+    shows = content.painted(streams, ("show",))
+    changes = shows.select("doc_id", "page", "ord", F.lit("keep").alias("action"), "text", F.lit(None).cast("string").alias("codes"), (F.col("x") + 5).alias("to_x"), F.lit(None).cast("double").alias("to_y"))
+    new = lambda ops: sorted(tuple(r) for r in rewriting.patched_streams(streams, ops, shows, changes).collect())
+    assert new(None) == new(content.operators_of(streams))
+
+
+def test_lines_are_split_without_the_driver(spark):
+    """No side of a join is sent to every executor by way of the driver, and what joins read is written once."""
+    from paperloom.operators import members
+
+    lines = spark.createDataFrame([(1, 1, 1, "a 1.00", 56.0, 90.0, 500.0, 10.0, 9.0), (1, 1, 2, "b", 56.0, 30.0, 500.0, 10.0, 9.0)], "doc_id long, page int, line int, text string, x double, y double, width double, height double, font_size double")
+    shows = spark.createDataFrame([(1, 1, 1, "a", 56.0, 89.0, 9.0), (1, 1, 2, "1.00", 490.0, 89.0, 9.0)], "doc_id long, page int, ord int, text string, x double, y double, font_size double")
+    split = members.split_by_shows(lines, shows)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "LocalTableScan" not in plan and "Scan ExistingRDD" not in plan
+    assert sorted((r.line, r.column, r.text, r.n_columns) for r in split.collect()) == [(1, 0, "a", 2), (1, 1, "1.00", 2), (2, 0, "b", 1)]
+
+
 def test_keys_of_stacked_shows_are_made_once(spark):
     """Both sides of the pairs read written keys, so no plan of pairs makes any."""
     streams = spark.createDataFrame([(1, 1, "BT /F 9 Tf 1 0 0 1 5 6 Tm (Abcdefgh) Tj ET BT 1 0 0 1 5 7 Tm (Abcdefgh i) Tj ET BT 1 0 0 1 5 7 Tm (\x7f1234-----------) Tj ET"), (2, 1, "(Abcdefgh) Tj")], "doc_id long, page int, stream string")
