@@ -142,7 +142,27 @@ def test_lines_are_split_without_the_driver(spark):
     split = members.split_by_shows(lines, shows)
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "LocalTableScan" not in plan and "Scan ExistingRDD" not in plan
-    assert sorted((r.line, r.column, r.text, r.n_columns) for r in split.collect()) == [(1, 0, "a", 2), (1, 1, "1.00", 2), (2, 0, "b", 1)]
+    assert sorted((r.line, r.column, r.text, r.n_columns) for r in split.collect()) == [(1, 0, "a", 2), (1, 1, "1.00", 2), (2, 0, "a", 2), (2, 1, "1.00", 2)]
+
+
+def test_trees_are_climbed_where_they_lie(spark):
+    """The same as by jumping, for trees that a worker holds, larger ones, circles, lost parents and nodes of one number; nodes are dealt out once."""
+    from paperloom.operators import trees
+
+    rows = [(d, o, None if o % 9 == 0 else 99 if o == 13 else (o * 7 + d) % o if o % 5 else o + 1, f"a{o}" if o % 4 == d % 4 else None, [f"v{o}"] if o % 3 else None, [] if o == 4 else [f"p{o}"], "n" if o % 2 else None) for d in range(8) for o in range(1 + 4 * d)]
+    rows += [(8, 1, None, "x", None, ["r"], None), (8, 1, None, "y", None, ["s"], "n"), (8, 2, 1, None, None, ["t"], None), (None, 1, None, "x", None, ["r"], None), (None, 2, 1, None, None, ["t"], None), (9, None, None, None, None, [], None)]
+    nodes = spark.createDataFrame(rows, "doc_id long, obj int, parent int, a string, v array<string>, path array<string>, name string")
+    of = lambda g: sorted(repr((r.doc_id, r.obj, r.a, r.v, r.path) if r.rooted else (r.doc_id, r.obj)) for r in g.collect())
+    want, most = of(trees.jumped(nodes, ("a", "v"), "path")), trees.MOST
+    try:
+        counts = set()
+        for trees.MOST in (most, 10):
+            g = trees.inherited(nodes, ("a", "v"), "path", counted="name")
+            assert of(g) == want
+            counts.add(repr(sorted((r.doc_id, r.obj, r.n_named, r.n_below) for r in g.where("rooted and doc_id < 8").collect())))
+        assert len(counts) == 1
+    finally:
+        trees.MOST = most
 
 
 def test_keys_of_stacked_shows_are_made_once(spark):
